@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkwell.session import build_once
+
 # The combining marks the index tokenizer drops inside a word.
 DROPPED_MARKS = (
     "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u0309\u030a\u030b\u030c\u030f\u0311"
@@ -167,7 +169,8 @@ def _past(w: Column, b: Column, s: Column) -> Column:
     )
 
 
-def stem(term: Column) -> Column:
+@build_once
+def stem(name: str) -> Column:
     """The Porter stem of a folded term; short and very long terms stay as they are."""
     long_base = lambda w, b, s: F.when(
         b.rlike(MEASURE_OVER_1) & ((s != "ion") | b.rlike("[st]$")), b
@@ -183,6 +186,7 @@ def stem(term: Column) -> Column:
         w.endswith("ll") & w.rlike(MEASURE_OVER_1), _base(w, F.lit("l"))
     ).otherwise(w)
 
+    term = F.col(name)
     word = F.regexp_replace(term, "^y", "Y")
     word = _bind(word, _plural)
     word = _cut_suffix(word, ("eed", "ed", "ing"), _past)

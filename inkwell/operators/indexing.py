@@ -111,7 +111,7 @@ def build_postings(docs: DataFrame) -> DataFrame:
 def build_vocab(postings: DataFrame) -> DataFrame:
     """Distinct terms with stem and document count; only distinct terms are stemmed."""
     counts = postings.groupBy("term").agg(F.count_if("lead").alias("n_docs"))
-    return counts.select("term", stem(F.col("term")).alias("stem"), "n_docs")
+    return counts.select("term", stem("term").alias("stem"), "n_docs")
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:

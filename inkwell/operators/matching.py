@@ -29,12 +29,12 @@ def clause_slots(clauses: DataFrame) -> DataFrame:
         .where(F.col("term").isNotNull())
     )
     return slots.select(
-        "clause_key", "title_only", "n_terms", "slot", stem(F.col("term")).alias("stem"),
+        "clause_key", "title_only", "n_terms", "slot", stem("term").alias("stem"),
         (F.col("prefix") & (F.col("slot") == F.col("n_terms") - 1)).alias("as_prefix"),
     )
 
 
-def widen_slots(slots: DataFrame, vocab: DataFrame, buckets: int) -> DataFrame:
+def widen_slots(slots: DataFrame, vocab: DataFrame, buckets: int, with_prefixes: bool = True) -> DataFrame:
     """The terms of the archive that each slot stands for.
 
     Whole stems meet the vocabulary by equality. For prefixes every stem is listed under the
@@ -46,6 +46,9 @@ def widen_slots(slots: DataFrame, vocab: DataFrame, buckets: int) -> DataFrame:
         .withColumn("stem_bucket", bucket_of(F.col("stem"), buckets))
         .join(vocab.select("stem_bucket", "stem", "term"), ["stem_bucket", "stem"])
     )
+    columns = ("clause_key", "title_only", "n_terms", "slot", "term")
+    if not with_prefixes:
+        return whole.select(*columns)
     prefixes = slots.where("as_prefix").withColumnRenamed("stem", "prefix")
     lengths = prefixes.agg(F.collect_set(F.char_length("prefix")).alias("n")).scalar()
     listed = (
@@ -54,7 +57,6 @@ def widen_slots(slots: DataFrame, vocab: DataFrame, buckets: int) -> DataFrame:
         .where(F.col("n") <= F.char_length("stem"))
         .select("term", F.substring(F.col("stem"), F.lit(1), F.col("n")).alias("prefix"))
     )
-    columns = ("clause_key", "title_only", "n_terms", "slot", "term")
     return whole.select(*columns).unionByName(prefixes.join(listed, "prefix").select(*columns))
 
 
@@ -116,8 +118,12 @@ def match_clauses(slot_terms: DataFrame, postings: DataFrame, buckets: int) -> D
 
 
 def document_frequency(matches: DataFrame) -> DataFrame:
-    """Documents per clause. Search filters do not count here."""
-    return matches.groupBy("clause_key").agg(F.count("*").alias("n_docs"))
+    """Documents per clause. Search filters do not count here.
+
+    The count reads `doc` as well: then its branch of a search plan needs the same columns as
+    the other one, and both share one shuffle of the postings.
+    """
+    return matches.groupBy("clause_key").agg(F.count("doc").alias("n_docs"))
 
 
 def combine_clauses(matches: DataFrame, query_clauses: DataFrame, parts: Column) -> DataFrame:

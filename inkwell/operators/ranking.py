@@ -78,7 +78,7 @@ def tag_sets_by_value(csvs: DataFrame, values: DataFrame) -> DataFrame:
     )
 
 
-def newest_first_batch(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+def newest_first_batch(docs: DataFrame, queries: DataFrame, limit: int, with_tags: bool = True) -> DataFrame:
     """X15, T1 for a log: per query the newest documents that pass its filters.
 
     Queries never meet documents pair by pair. A document is listed under the (status, type,
@@ -95,13 +95,14 @@ def newest_first_batch(docs: DataFrame, queries: DataFrame, limit: int) -> DataF
     slim = docs.select(
         "id", "status", "type", "published_at", "updated_at", F.array_join("tags", ",").alias("tags_csv")
     )
-    tag_values = specs.where(F.col("tag").isNotNull()).select("tag").distinct()
-    tagged = slim.join(tag_sets_by_value(slim.select("tags_csv").distinct(), tag_values), "tags_csv")
+    untagged = slim.withColumn("tag", F.lit(None).cast("string"))
     either = lambda name: F.explode(F.array(F.col(name), F.lit(None).cast("string"))).alias(name)
+    if with_tags:
+        tag_values = specs.where(F.col("tag").isNotNull()).select("tag").distinct()
+        tag_sets = tag_sets_by_value(slim.select("tags_csv").distinct(), tag_values)
+        untagged = untagged.unionByName(slim.join(tag_sets, "tags_csv"))
     listed = (
-        slim.withColumn("tag", F.lit(None).cast("string"))
-        .unionByName(tagged)
-        .select("id", "published_at", "updated_at", "type", "tag", either("status"))
+        untagged.select("id", "published_at", "updated_at", "type", "tag", either("status"))
         .select("id", "published_at", "updated_at", "tag", "status", either("type"))
         .withColumn("facet", facet)
         .join(specs.select("facet").distinct(), "facet", "left_semi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.fields import DOC_STATUSES, DOC_TYPES
 from inkwell.functions.text import JS_SPACE, terms
+from inkwell.session import build_once
 
 POSITIVE = ("title", "term")
 FILTERS = ("tag", "before", "after", "status", "type")
@@ -67,6 +68,11 @@ def _classify(token: Column) -> Column:
     )
 
 
+@build_once
+def classified_tokens(name: str) -> Column:
+    return F.transform(split_tokens(F.col(name)), _classify)
+
+
 def parse_log(log: DataFrame) -> DataFrame:
     """The log with `tokens` (classified, in order), the five filters and `n_positive`."""
     tokens = F.col("tokens")
@@ -74,7 +80,7 @@ def parse_log(log: DataFrame) -> DataFrame:
         F.filter(tokens, lambda t: t["kind"] == kind), F.lit(-1)
     )["value"]
     return (
-        log.withColumn("tokens", F.transform(split_tokens(F.col("raw")), _classify))
+        log.withColumn("tokens", classified_tokens("raw"))
         .withColumns({name: last(name) for name in FILTERS})
         .withColumn("n_positive", F.size(F.filter(tokens, lambda t: t["kind"].isin(*POSITIVE))))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.text import WORD_PATTERN
+from inkwell.session import build_once
 
 # Fixed values of the snippet format and of its window choice.
 WINDOW = 12
@@ -23,9 +24,18 @@ def _window_score(w: Column) -> Column:
 def snippets(hits: DataFrame) -> DataFrame:
     """Add `snippet` to hits with `plaintext` and `parts`.
 
-    `parts` is an array of structs with `clause_no`, `n_terms` and `body_starts`. The steps
-    are columns of their own, so that no array is built twice.
+    `parts` is an array of structs with `clause_no`, `n_terms` and `body_starts`.
     """
+    steps = _snippet_steps()
+    for columns in steps:
+        hits = hits.withColumns(columns)
+    return hits.drop(*(name for columns in steps for name in columns if name != "snippet"))
+
+
+@build_once
+def _snippet_steps() -> list[dict[str, Column]]:
+    """The steps are columns of their own, so that no array is built twice."""
+    steps = []
     inst, words, gaps = F.col("_inst"), F.col("_words"), F.col("_gaps")
     n_words, per_window = F.col("_n_words"), F.col("_per_window")
 
@@ -40,14 +50,15 @@ def snippets(hits: DataFrame) -> DataFrame:
             ),
         )
     )
-    df = hits.withColumns(
+    steps.append(
         {
             "_inst": F.sort_array(F.coalesce(places, F.array().cast("array<struct<first:int,clause_no:int,last:int>>"))),
             "_words": F.regexp_extract_all("plaintext", F.lit(WORD_PATTERN), F.lit(0)),
             "_gaps": F.split("plaintext", WORD_PATTERN, -1),
             "_per_window": F.coalesce(F.size("parts"), F.lit(0)) * WINDOW,
         }
-    ).withColumn("_n_words", F.size(words))
+    )
+    steps.append({"_n_words": F.size(words)})
 
     # Distinct places in order, each with the last sentence start at or before it.
     sentence = F.filter(
@@ -68,25 +79,21 @@ def snippets(hits: DataFrame) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    df = df.withColumn("_events", F.sort_array(F.concat(starts, firsts)))
+    steps.append({"_events": F.sort_array(F.concat(starts, firsts))})
     place = "struct<pos:int,at:int,sentence:int>"
     begin = F.struct(F.lit(-1).alias("sentence"), F.array().cast(f"array<{place}>").alias("out"))
-    df = df.withColumn(
-        "_places",
-        F.aggregate(
-            "_events",
-            begin,
-            lambda acc, e: F.when(e["kind"] == 0, F.struct(e["pos"].alias("sentence"), acc["out"].alias("out"))).otherwise(
-                F.struct(
-                    acc["sentence"].alias("sentence"),
-                    F.concat(
-                        acc["out"],
-                        F.array(F.struct(e["pos"].alias("pos"), e["at"].alias("at"), acc["sentence"].alias("sentence")).cast(place)),
-                    ).alias("out"),
-                )
-            ),
-        )["out"],
+    step = lambda last, out: F.struct(last.alias("sentence"), out.alias("out"))
+    at_event = lambda acc, e: F.array(
+        F.struct(e["pos"].alias("pos"), e["at"].alias("at"), acc["sentence"].alias("sentence")).cast(place)
     )
+    with_sentence = F.aggregate(
+        "_events",
+        begin,
+        lambda acc, e: F.when(e["kind"] == 0, step(e["pos"], acc["out"])).otherwise(
+            step(acc["sentence"], F.concat(acc["out"], at_event(acc, e)))
+        ),
+    )["out"]
+    steps.append({"_places": with_sentence})
     where = F.col("_places")
 
     def inside(start: Column, at: Column) -> Column:
@@ -111,15 +118,14 @@ def snippets(hits: DataFrame) -> DataFrame:
             F.array(at_place)
         )
 
-    df = df.withColumn("_tried", F.flatten(F.transform(where, candidates)))
+    steps.append({"_tried": F.flatten(F.transform(where, candidates))})
     best = F.array_max(
         F.transform(
             "_tried", lambda c, i: F.struct(c["score"].alias("score"), (-i).alias("turn"), c["start"].alias("start"))
         )
     )["start"]
-    df = df.withColumn("_from", F.coalesce(best, F.lit(0))).withColumn(
-        "_to", F.least(F.col("_from") + (WINDOW - 1), n_words - 1)
-    )
+    steps.append({"_from": F.coalesce(best, F.lit(0))})
+    steps.append({"_to": F.least(F.col("_from") + (WINDOW - 1), n_words - 1)})
     lo, hi = F.col("_from"), F.col("_to")
 
     # Overlapping places share one pair of brackets; a run that began before the window has none.
@@ -140,7 +146,7 @@ def snippets(hits: DataFrame) -> DataFrame:
             ),
         ).otherwise(F.concat(acc, one_run(x["first"], x["last"]))),
     )
-    df = df.withColumn("_runs", F.filter(runs, lambda r: r["a"] >= lo))
+    steps.append({"_runs": F.filter(runs, lambda r: r["a"] >= lo)})
     marked = F.col("_runs")
 
     def piece(i: Column) -> Column:
@@ -156,6 +162,5 @@ def snippets(hits: DataFrame) -> DataFrame:
     snippet = F.when(n_words == 0, F.col("plaintext")).otherwise(
         F.concat(F.when(lo > 0, ELLIPSIS).otherwise(""), window, tail)
     )
-    return df.withColumn("snippet", snippet).drop(
-        "_inst", "_words", "_gaps", "_per_window", "_n_words", "_events", "_places", "_tried", "_from", "_to", "_runs"
-    )
+    steps.append({"snippet": snippet})
+    return steps

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,7 @@ from inkwell.session import scratch_path
 # Clauses come from the characters of the log, so a log within this size has a bounded number.
 BROADCAST_LOG_BYTES = 4 << 20
 
+PARTS = "array<struct<clause_no:int,n_terms:int,freq:double,idf:double,body_starts:array<int>>>"
 HIT_COLUMNS = ("query_id", "rank", *DOCUMENT_COLUMNS, "snippet", "score")
 
 
@@ -55,23 +59,60 @@ def distinct_queries(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("query_id", "query_key"), once
 
 
-def is_small(queries: DataFrame) -> bool:
-    n_bytes = queries.agg(F.sum(F.octet_length("raw"))).first()[0]
-    return (n_bytes or 0) <= BROADCAST_LOG_BYTES
+@dataclass(frozen=True)
+class ParsedLog:
+    """A parsed log, settled, with what plans need to know about it beforehand."""
 
+    queries: DataFrame
+    clauses: DataFrame
+    has_text: bool
+    has_no_text: bool
+    has_prefix: bool
+    has_tags: bool
+    small: bool
 
-def text_hits(index: ArchiveIndex, queries: DataFrame, clauses: DataFrame, limit: int, small: bool) -> DataFrame:
-    """Scored top hits of the queries that have a positive clause."""
-    bounded = F.broadcast if small else (lambda df: df)
-    keyed = with_clause_key(clauses)
-    slot_terms = settle(
-        widen_slots(bounded(clause_slots(keyed)), index.vocab, index.buckets), "slot-terms"
+
+def read_log(once: DataFrame) -> ParsedLog:
+    """Parse each different search string once and settle the result.
+
+    One aggregate over the (settled) log tells which kinds of search occur, so that a plan
+    has no branch for kinds that do not.
+    """
+    queries, clauses = search_log_clauses(once)
+    per_query = with_clause_key(clauses).groupBy("query_id").agg(
+        F.collect_list(
+            F.struct("clause_no", "negated", "title_only", "prefix", "clause_key", "terms")
+        ).alias("clauses")
     )
+    parsed = settle(queries.join(per_query, "query_id", "left"), "parsed-log")
+    facts = parsed.agg(
+        F.max(F.col("n_positive") > 0).alias("has_text"),
+        F.max(F.col("n_positive") == 0).alias("has_no_text"),
+        F.max(F.exists("clauses", lambda c: c["prefix"])).alias("has_prefix"),
+        F.max(F.col("tag").isNotNull() & (F.col("n_positive") == 0)).alias("has_tags"),
+        F.sum(F.octet_length("raw")).alias("n_bytes"),
+    ).first()
+    return ParsedLog(
+        queries=parsed.drop("clauses"),
+        clauses=parsed.select("query_id", F.inline_outer("clauses")).where(F.col("clause_key").isNotNull()),
+        has_text=bool(facts["has_text"]),
+        has_no_text=bool(facts["has_no_text"]),
+        has_prefix=bool(facts["has_prefix"]),
+        has_tags=bool(facts["has_tags"]),
+        small=(facts["n_bytes"] or 0) <= BROADCAST_LOG_BYTES,
+    )
+
+
+def text_hits(index: ArchiveIndex, log: ParsedLog, limit: int) -> DataFrame:
+    """Scored top hits of the queries that have a positive clause."""
+    bounded = F.broadcast if log.small else (lambda df: df)
+    slots = bounded(clause_slots(log.clauses))
+    slot_terms = settle(widen_slots(slots, index.vocab, index.buckets, log.has_prefix), "slot-terms")
     matches = match_clauses(slot_terms, index.postings, index.buckets)
     frequency = document_frequency(matches).withColumn("idf", inverse_frequency(F.col("n_docs"), index.n_docs))
-    filters = queries.select("query_id", "n_positive", F.struct(*FILTERS).alias("q"))
+    filters = log.queries.select("query_id", "n_positive", F.struct(*FILTERS).alias("q"))
     query_clauses = (
-        keyed.select("query_id", "clause_no", "negated", "clause_key")
+        log.clauses.select("query_id", "clause_no", "negated", "clause_key")
         .join(bounded(filters), "query_id")
         .join(bounded(frequency.select("clause_key", "idf")), "clause_key")
     )
@@ -80,8 +121,18 @@ def text_hits(index: ArchiveIndex, queries: DataFrame, clauses: DataFrame, limit
     )
     held = combine_clauses(matches, bounded(query_clauses), parts).select("id", "query_id", "q", "parts", "doc.*")
     passed = held.where(query_filters_hold(F.col("tags_csv")))
-    scored = passed.select("query_id", "id", "parts", bm25(F.col("parts"), F.col("n_tokens"), index.avg_len).alias("score"))
-    return best_first(scored, limit)
+    scored = passed.select(
+        "query_id", "id", "parts", bm25(F.col("parts"), F.col("n_tokens"), index.avg_len).alias("score")
+    )
+    return best_first(scored, limit).select("query_id", "id", "rank", "score", "parts")
+
+
+def date_hits(index: ArchiveIndex, log: ParsedLog, limit: int) -> DataFrame:
+    """Top hits of the queries without a positive clause."""
+    queries = log.queries.where("n_positive = 0")
+    return newest_first_batch(index.documents, queries, limit, log.has_tags).select(
+        "query_id", "id", "rank", F.lit(0.0).alias("score"), F.lit(None).cast(PARTS).alias("parts")
+    )
 
 
 def _with_documents(index: ArchiveIndex, hits: DataFrame) -> DataFrame:
@@ -97,16 +148,13 @@ def search_batch(index: ArchiveIndex, log: DataFrame, limit: int | None = None)
     """
     k = effective_limit(limit)
     log_keys, once = distinct_queries(log)
-    small = is_small(once)
-    queries, clauses = search_log_clauses(once)
-    by_text = text_hits(index, queries.where("n_positive > 0"), clauses, k, small).select(
-        "query_id", "id", "rank", "score", "parts"
-    )
-    no_parts = "array<struct<clause_no:int,n_terms:int,freq:double,idf:double,body_starts:array<int>>>"
-    by_date = newest_first_batch(index.documents, queries.where("n_positive = 0"), k).select(
-        "query_id", "id", "rank", F.lit(0.0).alias("score"), F.lit(None).cast(no_parts).alias("parts")
+    parsed = read_log(once)
+    routes = ([text_hits(index, parsed, k)] if parsed.has_text else []) + (
+        [date_hits(index, parsed, k)] if parsed.has_no_text else []
     )
-    top = settle(by_text.unionByName(by_date), "top-hits")
+    if not routes:
+        routes = [date_hits(index, parsed, k)]
+    top = settle(reduce(DataFrame.unionByName, routes), "top-hits")
     full = snippets(_with_documents(index, top))
     shown = full.withColumn(
         "snippet", F.when(F.col("parts").isNull(), excerpt(F.col("plaintext"))).otherwise(F.col("snippet"))

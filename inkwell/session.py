@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -42,3 +44,21 @@ def shared_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nobody has used yet."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def build_once(build):
+    """Keep the columns a function of plain values returns.
+
+    Long expressions take many calls into the JVM to put together; a search does it once per
+    driver instead of once per call.
+    """
+    kept = {}
+
+    @functools.wraps(build)
+    def wrapper(*args):
+        key = (id(SparkContext._gateway), args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return wrapper
