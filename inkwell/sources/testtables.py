@@ -101,13 +101,14 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One search string per benchmark item, in one of ten forms taken in turn."""
+    """Ten search strings per benchmark item, one of each form."""
     first_line = F.split_part("text", F.lit("\n"), F.lit(1))
     w = F.col("w")
-    items = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"),
+    forms = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("form")
+    items = table(spark, sf_dir, "benchmark").select("*", forms).select(
+        (F.col("item_id") * 10 + F.col("form")).alias("query_id"),
+        "form",
         F.filter(F.split(F.regexp_replace(first_line, '[":]', " "), " +"), lambda x: x != "").alias("w"),
-        F.pmod("item_id", F.lit(10)).alias("form"),
         F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "ES"))), (F.pmod("item_id", F.lit(4)) + 1).cast("int")).alias("lang"),
         F.pmod(F.col("item_id"), F.lit(3)).alias("y"),
     )
@@ -122,7 +123,73 @@ def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("form") == 5, F.concat(word(1), F.lit(" after:"), year(2022), F.lit("-03 before:"), year(2023)))
         .when(F.col("form") == 6, F.concat(word(1), F.lit(" status:sent")))
         .when(F.col("form") == 7, F.concat(F.lit("tag:"), F.col("lang"), F.lit(" type:post before:"), year(2023)))
-        .when(F.col("form") == 8, F.concat(word(0), F.lit(" "), F.substring(word(1), 1, 3)))
+        .when(F.col("form") == 8, F.concat(word(0), F.lit(" "), F.substring(word(1), 1, 4)))
         .otherwise(F.concat(F.lit('-'), word(0), F.lit(" TYPE:page "), F.lit('"'), word(4), F.lit(" "), word(5)))
     )
     return items.select("query_id", text.alias("raw"), (F.col("form") >= 8).alias("prefix_last"))
+
+
+def raw_json_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts as an API would send them: fields may be missing, unknown or of another type."""
+    quality, toxic = F.col("quality"), F.col("toxic")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    known = raw_posts(spark, sf_dir).select("doc_id", "id", "title", "plaintext", "published_at", "updated_at", "url")
+    status = (
+        F.when((quality == 0) & (toxic == 0), "archived")
+        .when((quality == 0) & (toxic == 1), "scheduled")
+        .when((quality == 1) & (toxic == 1), "sent")
+        .when(quality == 1, "published")
+    )
+    tags = F.array(
+        F.struct(F.lit("Language").alias("name"), F.when(F.col("lang") != "de", F.col("lang")).otherwise("").alias("slug")),
+        F.struct(F.lit("Source").alias("name"), F.col("source").alias("slug")),
+        F.struct(F.lit("No slug").alias("name"), F.lit(None).cast("string").alias("slug")),
+    )
+    facts = docs.select("doc_id", status.alias("status"), tags.alias("tags"), "n_chars")
+    return known.join(facts, "doc_id").select(
+        F.col("doc_id").alias("n"),
+        F.struct(
+            "id",
+            F.concat(F.lit("u-"), "id").alias("uuid"),
+            "title",
+            F.col("id").alias("slug"),
+            "status",
+            "url",
+            F.when(F.col("plaintext") != "", F.col("plaintext")).alias("plaintext"),
+            "published_at",
+            "updated_at",
+            F.col("n_chars").alias("reading_size"),
+            "tags",
+        ).alias("record"),
+    )
+
+
+def raw_json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as an API would send them: no tags at all, the status as a number."""
+    ids = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"))
+    return pages(spark, sf_dir).join(ids, "id").select(
+        F.col("page_id").alias("n"),
+        F.struct("id", "title", "slug", F.lit(1).alias("status"), "url", "plaintext", "published_at", "updated_at").alias("record"),
+    )
+
+
+PAGE_SIZE = 100
+
+
+def landed_pages(records: DataFrame, collection: str, path: str) -> None:
+    """Write records as response bodies of up to a hundred records, one file each."""
+    page = (F.floor(F.col("n") / PAGE_SIZE) + 1).cast("long")
+    bodies = records.withColumn("page", page).groupBy("page").agg(
+        F.sort_array(F.collect_list(F.struct("n", "record"))).alias("items")
+    )
+    last = records.agg((F.floor(F.max("n") / PAGE_SIZE) + 1).cast("long").alias("pages")).scalar()
+    total = records.agg(F.count("*").alias("total")).scalar()
+    body = F.to_json(
+        F.struct(
+            F.transform("items", lambda x: x["record"]).alias(collection),
+            F.struct(
+                F.struct(F.col("page"), F.lit(PAGE_SIZE).alias("limit"), last.alias("pages"), total.alias("total")).alias("pagination")
+            ).alias("meta"),
+        )
+    )
+    bodies.select("page", body.alias("value")).write.partitionBy("page").text(f"{path}/{collection}")
