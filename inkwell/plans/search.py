@@ -158,7 +158,8 @@ def search_batch(index: ArchiveIndex, log: DataFrame, limit: int | None = None)
     full = snippets(_with_documents(index, top))
     shown = full.withColumn(
         "snippet", F.when(F.col("parts").isNull(), excerpt(F.col("plaintext"))).otherwise(F.col("snippet"))
-    ).withColumnRenamed("query_id", "query_key")
+    )
+    shown = shown.withColumnRenamed("query_id", "query_key").withColumn("rank", F.col("rank").cast("long"))
     return log_keys.join(shown, "query_key").select(*HIT_COLUMNS)
 
 
