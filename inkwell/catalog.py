@@ -101,17 +101,25 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _slot_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make():
-        index, log = index_for(spark, sf_dir), parsed_for(spark, sf_dir)
-        widened = matching.widen_slots(matching.clause_slots(log.clauses), index.vocab, index.buckets)
-        return searching.settle(widened, "slot-terms")
-
-    return _once("slot_terms", spark, sf_dir, make)
+    return _once(
+        "slot_terms", spark, sf_dir,
+        lambda: searching.clause_terms(index_for(spark, sf_dir), parsed_for(spark, sf_dir)),
+    )
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searching.clause_matches(index_for(spark, sf_dir), parsed_for(spark, sf_dir), _slot_terms(spark, sf_dir))
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, slot_terms = index_for(spark, sf_dir), _slot_terms(spark, sf_dir)
+    candidates = matching.phrase_candidates(slot_terms, index.postings, index.buckets)
+    return matching.match_phrases(slot_terms, index.postings, candidates, index.buckets)
+
+
+def _single_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = index_for(spark, sf_dir)
-    return matching.match_clauses(_slot_terms(spark, sf_dir), index.postings, index.buckets)
+    return matching.match_single_terms(_slot_terms(spark, sf_dir), index.postings, index.buckets)
 
 
 def _match_rows(matches: DataFrame) -> DataFrame:
@@ -310,7 +318,7 @@ def term_lookup(spark, sf_dir):
 
 @query
 def phrase_match(spark, sf_dir):
-    return _match_rows(_matches(spark, sf_dir).where("n_terms > 1"))
+    return _match_rows(_phrases(spark, sf_dir))
 
 
 @query
@@ -474,7 +482,7 @@ def search_log_clauses(spark, sf_dir):
 
 @query
 def term_match(spark, sf_dir):
-    return _match_rows(_matches(spark, sf_dir).where("n_terms = 1"))
+    return _match_rows(_single_terms(spark, sf_dir))
 
 
 @query

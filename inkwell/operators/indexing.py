@@ -20,7 +20,7 @@ INDEXED = tuple(COLUMN_WEIGHTS)
 # with the documents before it has its top hits. A changed document replaces all its postings
 # anyway, and as dictionary-coded columns these cost little.
 DOC_FACTS = ("n_tokens", "type", "status", "tags_csv", "published_at")
-POSTING_COLUMNS = ("term", "id", "col", "weight", "lead", "positions", *DOC_FACTS)
+POSTING_COLUMNS = ("term", "id", "col", "weight", "lead", "n_places", "positions", *DOC_FACTS)
 
 
 def _indexed_text(name: str) -> Column:
@@ -66,7 +66,8 @@ def build_postings(docs: DataFrame) -> DataFrame:
     """Positions per term, document and column.
 
     The tokens of a document are sorted by (term, column, position); a posting is a run of equal
-    (term, column). `lead` marks one posting per term and document, for document counts.
+    (term, column). `lead` marks one posting per term and document, for document counts;
+    `n_places` spares searches for single terms the positions, which are the bulk of the index.
     """
     def coded(code: int, name: str) -> Column:
         return F.transform(
@@ -103,7 +104,7 @@ def build_postings(docs: DataFrame) -> DataFrame:
         marked.withColumn("n_tokens", F.size(s).cast("long"))
         .select("id", *DOC_FACTS, F.inline_outer(F.transform(runs, posting)))
         .where(F.col("term").isNotNull())
-        .withColumn("weight", column_weight(F.col("col")))
+        .withColumns({"weight": column_weight(F.col("col")), "n_places": F.size("positions")})
         .select(*POSTING_COLUMNS)
     )
 

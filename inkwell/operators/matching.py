@@ -79,51 +79,76 @@ def _column_code(col: Column) -> Column:
     return code
 
 
-def match_clauses(slot_terms: DataFrame, postings: DataFrame, buckets: int) -> DataFrame:
-    """Documents of each clause with weighted frequency and places in the body.
+def match_single_terms(slot_terms: DataFrame, postings: DataFrame, buckets: int) -> DataFrame:
+    """X7 for clauses of one term: weighted frequencies, without reading positions."""
+    found = term_lookup(slot_terms.where("n_terms = 1"), postings, buckets)
+    places = found.select("id", "clause_key", *DOC_FACTS, (F.col("weight") * F.col("n_places")).alias("f"))
+    return places.repartition("id").groupBy("id", "clause_key", *DOC_FACTS).agg(F.sum("f").alias("freq"))
 
-    One shuffle, by document id; the phrase grouping and everything after it up to the top
-    hits keep that partitioning. A clause holds at a place when all its slots do: shifted by
-    their slot, the positions of the slots coincide there, so the sorted list shows the same
-    value `n_terms` times.
+
+def phrase_candidates(slot_terms: DataFrame, postings: DataFrame, buckets: int) -> DataFrame:
+    """J3, first half: where all terms of a phrase occur in one column of a document.
+
+    One bit per slot, combined before the shuffle; positions are not read. Of very long
+    phrases slots 64 apart share a bit, which only lets more candidates through.
     """
-    found = term_lookup(slot_terms, postings, buckets)
+    found = term_lookup(slot_terms.where("n_terms > 1"), postings, buckets)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
+    masks = found.groupBy("id", "clause_key", "n_terms", "col").agg(F.bit_or(bit).alias("mask"))
+    full = F.bit_count("mask") == F.least(F.col("n_terms"), F.lit(64))
+    return masks.where(full).select("id", "clause_key", "col")
+
+
+def match_phrases(slot_terms: DataFrame, postings: DataFrame, candidates: DataFrame, buckets: int) -> DataFrame:
+    """J3, second half: the candidates in which the terms stand in a row.
+
+    Shifted by their slot, the positions of the slots coincide at the start of a phrase, so the
+    sorted list of all of them shows the same value `n_terms` times there.
+    """
+    found = term_lookup(slot_terms.where("n_terms > 1"), postings, buckets).join(
+        candidates, ["id", "clause_key", "col"], "left_semi"
+    )
     base = _column_code(F.col("col")) * F.lit(COLUMN_STEP) - F.col("slot")
     places = found.select(
-        "clause_key", "n_terms", "id", F.struct(*DOC_FACTS).alias("doc"),
-        F.transform("positions", lambda p: base + p).alias("places"),
+        "id", "clause_key", "n_terms", *DOC_FACTS, F.transform("positions", lambda p: base + p).alias("places")
     ).repartition("id")
-    grouped = places.groupBy("id", "clause_key", "n_terms").agg(
-        F.first("doc").alias("doc"),
-        F.sort_array(F.flatten(F.collect_list("places"))).alias("places"),
+    grouped = places.groupBy("id", "clause_key", "n_terms", *DOC_FACTS).agg(
+        F.sort_array(F.flatten(F.collect_list("places"))).alias("places")
     )
     held = F.transform(
         "places", lambda x, i: F.when(x == F.get(F.col("places"), i + F.col("n_terms") - 1), x)
     )
-    matched = grouped.withColumn("places", F.filter(held, lambda x: x.isNotNull())).where(
-        F.size("places") > 0
-    )
+    starts = grouped.withColumn("places", F.filter(held, lambda x: x.isNotNull()))
 
     def in_column(name: str) -> Column:
         low = INDEXED.index(name) * COLUMN_STEP
-        return F.filter("places", lambda x: (x >= low) & (x < low + COLUMN_STEP))
+        return F.size(F.filter("places", lambda x: (x >= low) & (x < low + COLUMN_STEP)))
 
-    freq = sum((F.size(in_column(n)) * F.lit(w) for n, w in COLUMN_WEIGHTS.items()), F.lit(0.0))
-    body = F.transform(
-        in_column("plaintext"), lambda x: (x - INDEXED.index("plaintext") * COLUMN_STEP).cast("int")
-    )
-    return matched.select(
-        "id", "clause_key", "n_terms", "doc", freq.alias("freq"), body.alias("body_starts")
-    )
+    freq = sum((in_column(n) * F.lit(w) for n, w in COLUMN_WEIGHTS.items()), F.lit(0.0))
+    return starts.select("id", "clause_key", *DOC_FACTS, freq.alias("freq")).where(F.col("freq") > 0)
+
+
+def match_clauses(
+    slot_terms: DataFrame, postings: DataFrame, buckets: int, candidates: DataFrame | None = None
+) -> DataFrame:
+    """Documents of each clause with weighted frequency, and what scores and filters read.
+
+    One shuffle, by document id; everything after it up to the top hits keeps that
+    partitioning. Without `candidates` there must be no phrase among the clauses.
+    """
+    single = match_single_terms(slot_terms, postings, buckets)
+    if candidates is None:
+        return single
+    return single.unionByName(match_phrases(slot_terms, postings, candidates, buckets))
 
 
 def document_frequency(matches: DataFrame) -> DataFrame:
     """Documents per clause. Search filters do not count here.
 
-    The count reads `doc` as well: then its branch of a search plan needs the same columns as
-    the other one, and both share one shuffle of the postings.
+    The count reads `freq`: then its branch of a search plan needs the same columns as the
+    other one, and both share one shuffle of the postings.
     """
-    return matches.groupBy("clause_key").agg(F.count("doc").alias("n_docs"))
+    return matches.groupBy("clause_key").agg(F.count_if(F.col("freq") > 0).alias("n_docs"))
 
 
 def combine_clauses(matches: DataFrame, query_clauses: DataFrame, parts: Column) -> DataFrame:
@@ -134,9 +159,8 @@ def combine_clauses(matches: DataFrame, query_clauses: DataFrame, parts: Column)
     """
     held = matches.join(query_clauses, "clause_key")
     return (
-        held.groupBy("id", "query_id")
+        held.groupBy("id", "query_id", *DOC_FACTS)
         .agg(
-            F.first("doc").alias("doc"),
             F.first("n_positive").alias("n_positive"),
             F.first("q").alias("q"),
             F.count_if(~F.col("negated")).alias("n_held"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.text import WORD_PATTERN
+from inkwell.functions.text import WORD_PATTERN, terms
 from inkwell.session import build_once
 
 # Fixed values of the snippet format and of its window choice.
@@ -15,6 +15,28 @@ FIRST_OF_CLAUSE, TEXT_START, SENTENCE_START = 1000, 120, 100
 SENTENCE_GAP = r"[.:][ \t\n\r]+\z"
 
 
+INSTANCES = "array<struct<first:int,clause_no:int,last:int>>"
+
+
+def clause_instances(hits: DataFrame, clause_terms: DataFrame) -> DataFrame:
+    """Where the clauses of its query stand in the body of each hit, in order of place.
+
+    Read from the texts of the hits, which have to be fetched anyway: so the work follows the
+    number of hits, and no positions travel with all the other matches. `clause_terms` has
+    `query_id`, `clause_no`, `n_terms`, `slot`, `term`.
+    """
+    words = hits.select("query_id", "id", F.posexplode_outer(terms(F.col("plaintext"))).alias("pos", "term"))
+    found = words.where(F.col("term").isNotNull()).join(clause_terms, ["query_id", "term"])
+    first = (F.col("pos") - F.col("slot")).alias("first")
+    starts = found.groupBy("query_id", "id", "clause_no", "n_terms", first).agg(F.count("*").alias("n"))
+    place = F.struct("first", "clause_no", (F.col("first") + F.col("n_terms") - 1).alias("last"))
+    return (
+        starts.where(F.col("n") == F.col("n_terms"))
+        .groupBy("query_id", "id")
+        .agg(F.sort_array(F.collect_list(place)).alias("instances"))
+    )
+
+
 def _window_score(w: Column) -> Column:
     """Each clause counts highly once; further places count one each."""
     kinds = F.size(F.array_distinct(F.transform(w, lambda x: x["clause_no"])))
@@ -22,10 +44,7 @@ def _window_score(w: Column) -> Column:
 
 
 def snippets(hits: DataFrame) -> DataFrame:
-    """Add `snippet` to hits with `plaintext` and `parts`.
-
-    `parts` is an array of structs with `clause_no`, `n_terms` and `body_starts`.
-    """
+    """Add `snippet` to hits with `plaintext` and `instances`, as `clause_instances` gives them."""
     steps = _snippet_steps()
     for columns in steps:
         hits = hits.withColumns(columns)
@@ -39,23 +58,14 @@ def _snippet_steps() -> list[dict[str, Column]]:
     inst, words, gaps = F.col("_inst"), F.col("_words"), F.col("_gaps")
     n_words, per_window = F.col("_n_words"), F.col("_per_window")
 
-    places = F.flatten(
-        F.transform(
-            "parts",
-            lambda p: F.transform(
-                p["body_starts"],
-                lambda s: F.struct(
-                    s.alias("first"), p["clause_no"].alias("clause_no"), (s + p["n_terms"] - 1).alias("last")
-                ),
-            ),
-        )
-    )
+    instances = F.coalesce("instances", F.array().cast(INSTANCES))
+    clause_count = F.size(F.array_distinct(F.transform(instances, lambda x: x["clause_no"])))
     steps.append(
         {
-            "_inst": F.sort_array(F.coalesce(places, F.array().cast("array<struct<first:int,clause_no:int,last:int>>"))),
+            "_inst": instances,
             "_words": F.regexp_extract_all("plaintext", F.lit(WORD_PATTERN), F.lit(0)),
             "_gaps": F.split("plaintext", WORD_PATTERN, -1),
-            "_per_window": F.coalesce(F.size("parts"), F.lit(0)) * WINDOW,
+            "_per_window": clause_count * WINDOW,
         }
     )
     steps.append({"_n_words": F.size(words)})

@@ -75,8 +75,14 @@ def _finish(spark: SparkSession, postings: DataFrame, path: str, buckets: int) -
 
 
 def build_index(spark: SparkSession, docs: DataFrame, path: str, buckets: int = 64) -> ArchiveIndex:
-    """Write the index of `docs` below `path` and open it."""
-    _write_bucketed(_stored_form(docs, buckets), f"{path}/documents", "id_bucket", ["id"])
+    """Write the index of `docs` below `path` and open it.
+
+    Documents are counted after their shuffle, so that a source of few files does not bind the
+    work to few tasks.
+    """
+    placed = docs.select(*DOCUMENT_COLUMNS, bucket_of(F.col("id"), buckets).alias("id_bucket"))
+    counted = placed.hint("rebalance", "id_bucket").withColumn("n_tokens", token_count())
+    counted.sortWithinPartitions("id_bucket", "id").write.partitionBy("id_bucket").parquet(f"{path}/documents")
     stored = spark.read.parquet(f"{path}/documents")
     return _finish(spark, build_postings(stored), path, buckets)
 

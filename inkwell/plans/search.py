@@ -16,6 +16,7 @@ from inkwell.operators.matching import (
     combine_clauses,
     document_frequency,
     match_clauses,
+    phrase_candidates,
     widen_slots,
     with_clause_key,
 )
@@ -27,14 +28,13 @@ from inkwell.operators.ranking import (
     newest_first_batch,
 )
 from inkwell.operators.searchlog import FILTERS, search_log_clauses
-from inkwell.operators.snippets import snippets
+from inkwell.operators.snippets import clause_instances, snippets
 from inkwell.plans.index import ArchiveIndex
 from inkwell.session import scratch_path
 
 # Clauses come from the characters of the log, so a log within this size has a bounded number.
 BROADCAST_LOG_BYTES = 4 << 20
 
-PARTS = "array<struct<clause_no:int,n_terms:int,freq:double,idf:double,body_starts:array<int>>>"
 HIT_COLUMNS = ("query_id", "rank", *DOCUMENT_COLUMNS, "snippet", "score")
 
 
@@ -68,6 +68,7 @@ class ParsedLog:
     has_text: bool
     has_no_text: bool
     has_prefix: bool
+    has_phrases: bool
     has_tags: bool
     small: bool
 
@@ -89,6 +90,7 @@ def read_log(once: DataFrame) -> ParsedLog:
         F.max(F.col("n_positive") > 0).alias("has_text"),
         F.max(F.col("n_positive") == 0).alias("has_no_text"),
         F.max(F.exists("clauses", lambda c: c["prefix"])).alias("has_prefix"),
+        F.max(F.exists("clauses", lambda c: F.size(c["terms"]) > 1)).alias("has_phrases"),
         F.max(F.col("tag").isNotNull() & (F.col("n_positive") == 0)).alias("has_tags"),
         F.sum(F.octet_length("raw")).alias("n_bytes"),
     ).first()
@@ -98,17 +100,32 @@ def read_log(once: DataFrame) -> ParsedLog:
         has_text=bool(facts["has_text"]),
         has_no_text=bool(facts["has_no_text"]),
         has_prefix=bool(facts["has_prefix"]),
+        has_phrases=bool(facts["has_phrases"]),
         has_tags=bool(facts["has_tags"]),
         small=(facts["n_bytes"] or 0) <= BROADCAST_LOG_BYTES,
     )
 
 
-def text_hits(index: ArchiveIndex, log: ParsedLog, limit: int) -> DataFrame:
+def clause_terms(index: ArchiveIndex, log: ParsedLog) -> DataFrame:
+    """The terms of the archive that the clauses of a log stand for."""
+    slots = clause_slots(log.clauses)
+    return settle(
+        widen_slots(F.broadcast(slots) if log.small else slots, index.vocab, index.buckets, log.has_prefix),
+        "slot-terms",
+    )
+
+
+def clause_matches(index: ArchiveIndex, log: ParsedLog, slot_terms: DataFrame) -> DataFrame:
+    candidates = None
+    if log.has_phrases:
+        candidates = settle(phrase_candidates(slot_terms, index.postings, index.buckets), "candidates")
+    return match_clauses(slot_terms, index.postings, index.buckets, candidates)
+
+
+def text_hits(index: ArchiveIndex, log: ParsedLog, slot_terms: DataFrame, limit: int) -> DataFrame:
     """Scored top hits of the queries that have a positive clause."""
     bounded = F.broadcast if log.small else (lambda df: df)
-    slots = bounded(clause_slots(log.clauses))
-    slot_terms = settle(widen_slots(slots, index.vocab, index.buckets, log.has_prefix), "slot-terms")
-    matches = match_clauses(slot_terms, index.postings, index.buckets)
+    matches = clause_matches(index, log, slot_terms)
     frequency = document_frequency(matches).withColumn("idf", inverse_frequency(F.col("n_docs"), index.n_docs))
     filters = log.queries.select("query_id", "n_positive", F.struct(*FILTERS).alias("q"))
     query_clauses = (
@@ -116,22 +133,17 @@ def text_hits(index: ArchiveIndex, log: ParsedLog, limit: int) -> DataFrame:
         .join(bounded(filters), "query_id")
         .join(bounded(frequency.select("clause_key", "idf")), "clause_key")
     )
-    parts = F.struct(
-        F.col("clause_no"), F.col("n_terms"), F.col("freq"), F.col("idf"), F.col("body_starts")
-    )
-    held = combine_clauses(matches, bounded(query_clauses), parts).select("id", "query_id", "q", "parts", "doc.*")
+    held = combine_clauses(matches, bounded(query_clauses), F.struct("clause_no", "freq", "idf"))
     passed = held.where(query_filters_hold(F.col("tags_csv")))
-    scored = passed.select(
-        "query_id", "id", "parts", bm25(F.col("parts"), F.col("n_tokens"), index.avg_len).alias("score")
-    )
-    return best_first(scored, limit).select("query_id", "id", "rank", "score", "parts")
+    scored = passed.select("query_id", "id", bm25(F.col("parts"), F.col("n_tokens"), index.avg_len).alias("score"))
+    return best_first(scored, limit).select("query_id", "id", "rank", "score")
 
 
 def date_hits(index: ArchiveIndex, log: ParsedLog, limit: int) -> DataFrame:
     """Top hits of the queries without a positive clause."""
     queries = log.queries.where("n_positive = 0")
     return newest_first_batch(index.documents, queries, limit, log.has_tags).select(
-        "query_id", "id", "rank", F.lit(0.0).alias("score"), F.lit(None).cast(PARTS).alias("parts")
+        "query_id", "id", "rank", F.lit(0.0).alias("score")
     )
 
 
@@ -149,16 +161,24 @@ def search_batch(index: ArchiveIndex, log: DataFrame, limit: int | None = None)
     k = effective_limit(limit)
     log_keys, once = distinct_queries(log)
     parsed = read_log(once)
-    routes = ([text_hits(index, parsed, k)] if parsed.has_text else []) + (
-        [date_hits(index, parsed, k)] if parsed.has_no_text else []
-    )
-    if not routes:
-        routes = [date_hits(index, parsed, k)]
+    slot_terms = clause_terms(index, parsed) if parsed.has_text else None
+    routes = []
+    if parsed.has_text:
+        routes.append(text_hits(index, parsed, slot_terms, k))
+    if parsed.has_no_text or not routes:
+        routes.append(date_hits(index, parsed, k))
     top = settle(reduce(DataFrame.unionByName, routes), "top-hits")
-    full = snippets(_with_documents(index, top))
-    shown = full.withColumn(
-        "snippet", F.when(F.col("parts").isNull(), excerpt(F.col("plaintext"))).otherwise(F.col("snippet"))
-    )
+    full = _with_documents(index, top).join(parsed.queries.select("query_id", "n_positive"), "query_id")
+    plain = excerpt(F.col("plaintext"))
+    if slot_terms is None:
+        shown = full.withColumn("snippet", plain)
+    else:
+        marked = parsed.clauses.where("not negated and not title_only").select("query_id", "clause_no", "clause_key")
+        wanted = marked.join(slot_terms.select("clause_key", "n_terms", "slot", "term"), "clause_key")
+        instances = clause_instances(full.where("n_positive > 0"), wanted)
+        shown = snippets(full.join(instances, ["query_id", "id"], "left")).withColumn(
+            "snippet", F.when(F.col("n_positive") == 0, plain).otherwise(F.col("snippet"))
+        )
     shown = shown.withColumnRenamed("query_id", "query_key").withColumn("rank", F.col("rank").cast("long"))
     return log_keys.join(shown, "query_key").select(*HIT_COLUMNS)
 
