@@ -12,6 +12,10 @@ MIN_IDF = 1e-6
 # Fixed value: hits per query where nothing else is asked for.
 DEFAULT_LIMIT = 50
 
+# From this limit on Spark no longer limits groups before a shuffle by itself.
+OWN_GROUP_LIMIT = 1000
+SPREAD = 256
+
 
 def effective_limit(limit: int | None) -> int:
     """A missing or non-positive limit is the default one."""
@@ -37,8 +41,14 @@ def bm25(parts: Column, n_tokens: Column, avg_len: float) -> Column:
 
 def best_first(scored: DataFrame, limit: int) -> DataFrame:
     """Ranks per query. Spark limits each group before the shuffle too, so a query that
-    matches the whole archive sends only `limit` rows per partition to its task."""
+    matches the whole archive sends only `limit` rows per partition to its task. Spark leaves
+    that out for limits above its threshold; there, parts of each query are cut first."""
     order = Window.partitionBy("query_id").orderBy("score", "id")
+    if limit >= OWN_GROUP_LIMIT:
+        part = F.pmod(F.xxhash64("id"), F.lit(SPREAD)).alias("part")
+        within = Window.partitionBy("query_id", "part").orderBy("score", "id")
+        spread = scored.select("*", part).withColumn("n", F.row_number().over(within))
+        scored = spread.where(F.col("n") <= limit).drop("n", "part")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
