@@ -86,14 +86,16 @@ def parse_log(log: DataFrame) -> DataFrame:
     )
 
 
-def search_log_clauses(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`queries` (one row per log row) and `clauses` (one row per text clause).
+def queries_of(parsed: DataFrame) -> DataFrame:
+    return parsed.select("query_id", "raw", *FILTERS, "n_positive")
+
 
-    Log columns are `query_id`, `raw`, `prefix_last`. Exclusions without a positive clause
-    vanish. Prefix search is for the last positive clause, if it is an open plain term.
+def clauses_of(parsed: DataFrame) -> DataFrame:
+    """One row per text clause of a parsed log.
+
+    Exclusions without a positive clause vanish. Prefix search is for the last positive clause,
+    if it is an open plain term.
     """
-    parsed = parse_log(log)
-    queries = parsed.select("query_id", "raw", *FILTERS, "n_positive")
     place = F.array_max(
         F.transform(F.col("tokens"), lambda t, i: F.when(t["kind"].isin(*POSITIVE), i))
     )
@@ -109,7 +111,7 @@ def search_log_clauses(log: DataFrame) -> tuple[DataFrame, DataFrame]:
         & (F.col("token.kind") == "term")
         & F.col("token.open")
     )
-    clauses = rows.select(
+    return rows.select(
         "query_id",
         "clause_no",
         (F.col("token.kind") == "negated").alias("negated"),
@@ -118,4 +120,10 @@ def search_log_clauses(log: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("token.value").alias("text"),
         terms(F.col("token.value")).alias("terms"),
     )
-    return queries, clauses
+
+
+def search_log_clauses(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`queries` (one row per log row) and `clauses` (one row per text clause) of a log with
+    `query_id`, `raw`, `prefix_last`."""
+    parsed = parse_log(log)
+    return queries_of(parsed), clauses_of(parsed)

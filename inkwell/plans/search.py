@@ -27,7 +27,7 @@ from inkwell.operators.ranking import (
     inverse_frequency,
     newest_first_batch,
 )
-from inkwell.operators.searchlog import FILTERS, search_log_clauses
+from inkwell.operators.searchlog import FILTERS, clauses_of, parse_log, queries_of
 from inkwell.operators.snippets import clause_instances, snippets
 from inkwell.plans.index import ArchiveIndex
 from inkwell.session import scratch_path
@@ -76,33 +76,29 @@ class ParsedLog:
 def read_log(once: DataFrame) -> ParsedLog:
     """Parse each different search string once and settle the result.
 
-    One aggregate over the (settled) log tells which kinds of search occur, so that a plan
-    has no branch for kinds that do not.
+    Two aggregates over the settled rows tell which kinds of search occur, so that a plan has
+    no branch for kinds that do not.
     """
-    queries, clauses = search_log_clauses(once)
-    per_query = with_clause_key(clauses).groupBy("query_id").agg(
-        F.collect_list(
-            F.struct("clause_no", "negated", "title_only", "prefix", "clause_key", "terms")
-        ).alias("clauses")
-    )
-    parsed = settle(queries.join(per_query, "query_id", "left"), "parsed-log")
-    facts = parsed.agg(
+    parsed = settle(parse_log(once), "parsed-log")
+    queries, clauses = queries_of(parsed), with_clause_key(clauses_of(parsed))
+    by_query = queries.agg(
         F.max(F.col("n_positive") > 0).alias("has_text"),
         F.max(F.col("n_positive") == 0).alias("has_no_text"),
-        F.max(F.exists("clauses", lambda c: c["prefix"])).alias("has_prefix"),
-        F.max(F.exists("clauses", lambda c: F.size(c["terms"]) > 1)).alias("has_phrases"),
         F.max(F.col("tag").isNotNull() & (F.col("n_positive") == 0)).alias("has_tags"),
         F.sum(F.octet_length("raw")).alias("n_bytes"),
     ).first()
+    by_clause = clauses.agg(
+        F.max("prefix").alias("has_prefix"), F.max(F.size("terms") > 1).alias("has_phrases")
+    ).first()
     return ParsedLog(
-        queries=parsed.drop("clauses"),
-        clauses=parsed.select("query_id", F.inline_outer("clauses")).where(F.col("clause_key").isNotNull()),
-        has_text=bool(facts["has_text"]),
-        has_no_text=bool(facts["has_no_text"]),
-        has_prefix=bool(facts["has_prefix"]),
-        has_phrases=bool(facts["has_phrases"]),
-        has_tags=bool(facts["has_tags"]),
-        small=(facts["n_bytes"] or 0) <= BROADCAST_LOG_BYTES,
+        queries=queries,
+        clauses=clauses,
+        has_text=bool(by_query["has_text"]),
+        has_no_text=bool(by_query["has_no_text"]),
+        has_prefix=bool(by_clause["has_prefix"]),
+        has_phrases=bool(by_clause["has_phrases"]),
+        has_tags=bool(by_query["has_tags"]),
+        small=(by_query["n_bytes"] or 0) <= BROADCAST_LOG_BYTES,
     )
 
 
