@@ -28,16 +28,19 @@ def local_session(cpus: str = "8", partitions: int = 8) -> SparkSession:
     return spark
 
 
+_own_root: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster.
 
-    A machine-local folder is only chosen where the session names none, and then it is
-    recorded in the session so that every later caller uses the same one.
+    A folder of its own is only chosen where the session names none, as in tests.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="inkwell-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+        app = spark.sparkContext.applicationId
+        root = _own_root.setdefault(app, "") or tempfile.mkdtemp(prefix="inkwell-")
+        _own_root[app] = root
     return root.rstrip("/")
 
 

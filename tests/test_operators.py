@@ -312,3 +312,13 @@ def test_feed_keeps_the_newest_row_in_any_order(spark, tmp_path):
     base = docs_of(spark, doc("x", title="base", updated_at="2025"), doc("z"))
     got = {r["id"]: r["title"] for r in feed.current_documents(spark, out, base).collect()}
     assert got == {"x": "base", "y": "y2", "z": "Garden notes"}
+
+
+def test_a_scratch_folder_is_chosen_once_where_none_is_named():
+    from types import SimpleNamespace
+
+    from inkwell.session import shared_root
+
+    session = lambda named: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=SimpleNamespace(applicationId="app"))
+    assert shared_root(session("/shared/marks/")) == "/shared/marks"
+    assert shared_root(session(None)) == shared_root(session(None)) != ""
