@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from inkwell.llm import simhash
+from inkwell.llm import exactdedup, secrets, sharding, simhash
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op5_secret_scan": secrets.op5_secret_scan,
+    "op6_exact_dedup": exactdedup.op6_exact_dedup,
+    "op7_sharding": sharding.op7_sharding,
+}
+STATEMENTS: dict[str, str] = {
+    "op6_exact_dedup": exactdedup.OP6_SQL,
 }
-STATEMENTS: dict[str, str] = {}
