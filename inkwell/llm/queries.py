@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from inkwell.llm import exactdedup, secrets, sharding, simhash
+from inkwell.llm import bpe, exactdedup, secrets, sharding, simhash, tokenfiles
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_bpe_codec": bpe.op2_bpe_codec,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_dedup": exactdedup.op6_exact_dedup,
     "op7_sharding": sharding.op7_sharding,
+    "op9_token_files": tokenfiles.op9_token_files,
 }
 STATEMENTS: dict[str, str] = {
     "op6_exact_dedup": exactdedup.OP6_SQL,
