@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkwell.llm.common import ragged, table, texts_of
+from inkwell.llm.common import on_workers, ragged, table, texts_of
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words and pairs of tokens whose results a worker keeps at a time.
@@ -227,9 +227,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             ids = ragged([own.encode(t) for t in texts_of(batch["text"])], pa.int32())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], ids], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        batches, "doc_id long, ids array<int>"
-    )
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return on_workers(rows, batches, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -241,7 +240,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
             texts = [own.decode(ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else ()) for ids in batch["ids"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(batches, "doc_id long, ids array<int>, decoded string")
+    return on_workers(encoded.select("doc_id", "ids"), batches, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,20 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def on_workers(df: DataFrame, batches, schema: str) -> DataFrame:
+    """`mapInArrow` with this package on the workers' path, sent once per application as a Python archive."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).parents[1]
+        name = Path(tempfile.mkdtemp()) / f"{package.name}-{context.applicationId}"
+        context.addPyFile(shutil.make_archive(str(name), "zip", package.parent, package.name))
+        _shipped.add(context.applicationId)
+    return df.mapInArrow(batches, schema)
+
+
 def fold(modulus: int) -> Column:
     """crc32 of the id as text, modulo; a missing id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
@@ -43,3 +60,35 @@ def ragged(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     np.cumsum([len(p) for p in parts], out=offsets[1:])
     values = np.concatenate(parts) if parts else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int) -> list[tuple[str, int]]:
+    """Texts and labels of at most `rows` documents outside the held-out fold, drawn by a hash of the id.
+
+    The labels are cut to `rows` ids before they meet the documents; an id that repeats counts once.
+    """
+    chosen = (
+        labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
+        .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (fold(modulus) != held))
+        .groupBy("doc_id").agg(F.min("label").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    )
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # At most `rows` ids are broadcast.
+    met = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    return [(r.text, r.label) for r in sorted(met.collect(), key=lambda r: r.doc_id)]
+
+
+def scored(docs: DataFrame, score, modulus: int, held: int, threshold: float) -> DataFrame:
+    """`(doc_id, held_out, score, predicted)` of every row; `score` maps an Arrow batch of texts to numbers."""
+
+    def batches(given):
+        for batch in given:
+            found = pa.array(score(texts_of(batch["text"])), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], found], ["doc_id", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = on_workers(rows, batches, "doc_id long, score double")
+    return rows.select(
+        "doc_id", (fold(modulus) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )

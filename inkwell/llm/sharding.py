@@ -53,13 +53,16 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFra
     drawn = F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text_crc32")))
     rows = settle(rows.withColumn("drawn", drawn), "shard-rows")
     n = rows.count()
-    bits = max(0, math.ceil(math.log2(max(1, n) / CELL_ROWS)))
     ties = ["drawn", "doc_id", "text_crc32", "size", "source"]
+    # Each source has cells of its own number, so that those of a large one are no larger.
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / CELL_ROWS))).cast("int").alias("bits")
+    rows = rows.join(rows.groupBy("source").agg(bits), "source")
     # The sign bit is turned so that cells follow the signed order of the hash.
-    top = F.shiftrightunsigned(F.col("drawn").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits) if bits else F.lit(0)
+    ordered = F.col("drawn").bitwiseXOR(F.lit(-(1 << 63)))
+    top = F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", ordered, 64 - F.col("bits")))
     within = _ranked(rows, ["source"], top, ties)
     within = within.withColumn("fraction", (2 * F.col("rank") - 1) / (2 * F.col("total"))).drop("rank", "total")
-    cell = F.floor(F.col("fraction") * F.lit(1 << bits))
+    cell = F.floor(F.col("fraction") * math.ceil(max(1, n) / CELL_ROWS))
     placed = _ranked(within.withColumn("all", F.lit(0)), ["all"], cell, ["fraction", *ties])
     at = F.col("rank") - 1
     shard = F.expr(f"((rank - 1) * {n_shards}L) div {max(1, n)}L")

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import settle, table, texts_of
+from inkwell.llm.common import on_workers, settle, table, texts_of
 from inkwell.llm.graph import components
 
 SHINGLE = 3
@@ -58,9 +58,8 @@ def _fingerprint_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """`(doc_id, fp)` of every row. Letters A-Z are lowered, words end at ASCII white space; null counts as empty."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _fingerprint_batches, "doc_id long, fp long"
-    )
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return on_workers(rows, _fingerprint_batches, "doc_id long, fp long")
 
 
 # --- tiles ---------------------------------------------------------------------------------
@@ -161,7 +160,7 @@ def near_links(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
     side = lambda s: tiles.select(*(F.col(c).alias(f"{c}_{s}") for c in ("counts", "tile", "fps")))
     pairs = tile_pairs(cells, radius).join(side("a"), ["counts_a", "tile_a"]).join(side("b"), ["counts_b", "tile_b"])
     same = (F.col("counts_a") == F.col("counts_b")) & (F.col("tile_a") == F.col("tile_b"))
-    return pairs.select("fps_a", "fps_b", same.alias("same")).mapInArrow(_compare(radius), "a long, b long")
+    return on_workers(pairs.select("fps_a", "fps_b", same.alias("same")), _compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkwell.llm.common import settle, table, texts_of
+from inkwell.llm.common import on_workers, settle, table, texts_of
 from inkwell.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -232,7 +232,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, file_i
     # The source partition parts rows that repeat one id.
     sorted_rows = rows.repartitionByRange("doc_id", F.spark_partition_id()).sortWithinPartitions("doc_id")
     schema = "part long, file long, path string, docs long, ids long"
-    return settle(sorted_rows.mapInArrow(batches, schema), "token-files")
+    return settle(on_workers(sorted_rows, batches, schema), "token-files")
 
 
 def read_files(files: DataFrame, block: int = 1 << 20) -> DataFrame:
@@ -258,9 +258,8 @@ def read_files(files: DataFrame, block: int = 1 << 20) -> DataFrame:
     # One row per file: the only thing that is summed along all files.
     order = Window.orderBy("part", "file")
     placed = files.withColumn("before", F.sum("ids").over(order) - F.col("ids"))
-    return placed.repartition(max(1, n), "path").select("path", "before").mapInArrow(
-        batches, "doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
+    spread = placed.repartition(max(1, n), "path").select("path", "before")
+    return on_workers(spread, batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
