@@ -243,11 +243,11 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return on_workers(encoded.select("doc_id", "ids"), batches, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """`(doc_id, n_tokens, ids_sha256, decoded_sha256)`."""
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """`(doc_id, n_tokens, ids_sha256, decoded_sha256)` and `more` columns."""
     listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return decoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

@@ -32,7 +32,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 _shipped: set[str] = set()
 
 
-def on_workers(df: DataFrame, batches, schema: str) -> DataFrame:
+def on_workers(df: DataFrame, batches, schema) -> DataFrame:
     """`mapInArrow` with this package on the workers' path, sent once per application as a Python archive."""
     context = df.sparkSession.sparkContext
     if context.applicationId not in _shipped:
@@ -92,3 +92,13 @@ def scored(docs: DataFrame, score, modulus: int, held: int, threshold: float) ->
     return rows.select(
         "doc_id", (fold(modulus) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def kept_by_text(docs: DataFrame, decide) -> DataFrame:
+    """Rows of `docs`, all columns, whose text `decide` (Arrow texts to booleans) keeps; one pass, no shuffle."""
+
+    def batches(given):
+        for batch in given:
+            yield batch.filter(pa.array(decide(texts_of(batch["text"])), pa.bool_()))
+
+    return on_workers(docs, batches, docs.schema)

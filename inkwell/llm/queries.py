@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from inkwell.llm import bpe, exactdedup, secrets, sharding, simhash, tokenfiles
+from inkwell.llm import bpe, decontamination, exactdedup, langid, quality, secrets, sharding, simhash, tokenfiles, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_bpe_codec": bpe.op2_bpe_codec,
+    "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_language_id": langid.op4_language_id,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_exact_dedup": exactdedup.op6_exact_dedup,
     "op7_sharding": sharding.op7_sharding,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_token_files": tokenfiles.op9_token_files,
+    "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
 }
 STATEMENTS: dict[str, str] = {
     "op6_exact_dedup": exactdedup.OP6_SQL,
