@@ -53,7 +53,9 @@ def shingles_of(words: list[bytes]) -> list[tuple[bytes, ...]]:
 
 def hashes_of(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each shingle."""
-    codes = np.array([_known.get(w) or _code(w) for w in words], np.uint64)
+    for word in set(words).difference(_known):
+        _code(word)
+    codes = np.fromiter((_known.get(w) or _code(w) for w in words), np.uint64, len(words))
     n = max(min(1, len(words)), len(words) - SHINGLE + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(n, np.uint64)
@@ -112,6 +114,8 @@ class Index:
             blocks = self.tables.setdefault(length, [{} for _ in range(BLOCKS)])
             for block, value in zip(blocks, self._blocks(prints[i])):
                 block.setdefault(value, []).append(i)
+        # Items that differ from a block's value in few enough bits, noted when first asked for.
+        self.probed: dict[tuple[int, int, int], frozenset[int]] = {}
         self.flips = [
             [sum(1 << b for b in bits) for n in range(radius // BLOCKS + 1) for bits in itertools.combinations(range(to - at), n)]
             for at, to in itertools.pairwise(_EDGES)
@@ -124,9 +128,12 @@ class Index:
     def near(self, fingerprint: int, length: int) -> list[int]:
         """All items of that length within the radius."""
         found = set()
-        for block, value, flips in zip(self.tables[length], self._blocks(fingerprint), self.flips):
-            for flip in flips:
-                found.update(block.get(value ^ flip, ()))
+        for n, value in enumerate(self._blocks(fingerprint)):
+            key = (length, n, value)
+            if key not in self.probed:
+                block = self.tables[length][n]
+                self.probed[key] = frozenset(i for flip in self.flips[n] for i in block.get(value ^ flip, ()))
+            found |= self.probed[key]
         return sorted(i for i in found if (int(self.prints[i]) ^ fingerprint).bit_count() <= self.radius)
 
     def search(self, text: str) -> list[Hit]:
