@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from array import array
@@ -15,11 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkwell.llm.common import on_workers, ragged, table, texts_of
+from inkwell.llm.common import on_workers, ragged, slices, table, texts_of
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words and pairs of tokens whose results a worker keeps at a time.
-KEPT = 400_000
+KEPT = 200_000
 #: Stands for the word end; private use, so no byte letter.
 _END = "\ue000"
 
@@ -54,7 +55,6 @@ class PrefixEncoder:
         suffix = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.ids = model["vocab"]
-        self.text = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         marked = lambda t: t[: -len(suffix)] + _END if suffix and t.endswith(suffix) else t
         self.merges: dict[tuple[int, int], int] = {}
         # Of each token: the step that makes it, and what it is made of; -1 for single letters.
@@ -199,19 +199,29 @@ class PrefixEncoder:
                 parts.append(chunks.get(chunk) or self._chunk(chunk))
         return np.frombuffer(b"".join(parts), "<i4")
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The tokens of the ids with a space between, special ones included; ids unknown to the vocabulary vanish."""
-        return " ".join(filter(None, map(self.text.get, ids)))
 
+class Decoder:
+    """The tokens of ids."""
 
-_encoders: dict[str, PrefixEncoder] = {}
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        self.text = {i: t for t, i in parts["model"]["vocab"].items()} | {t["id"]: t["content"] for t in parts["added_tokens"]}
+
+    def decode(self, ids: Iterable[int]) -> str:
+        """The tokens with a space between, special ones included; ids unknown to the vocabulary vanish."""
+        return " ".join(filter(None, map(self.text.get, ids)))
 
 
+@functools.cache
 def encoder(path: str) -> PrefixEncoder:
     """One encoder per worker and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = PrefixEncoder(path)
-    return _encoders[path]
+    return PrefixEncoder(path)
+
+
+@functools.cache
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -223,7 +233,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def batches(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in given:
+        for batch in slices(given):
             ids = ragged([own.encode(t) for t in texts_of(batch["text"])], pa.int32())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], ids], ["doc_id", "ids"])
 
@@ -235,8 +245,8 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """`(doc_id, ids, decoded)` of every row; null ids count as none, null and unknown ids in a list vanish."""
 
     def batches(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for batch in given:
+        own = decoder(path)
+        for batch in slices(given):
             texts = [own.decode(ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else ()) for ids in batch["ids"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["ids"], pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -48,6 +48,13 @@ def fold(modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, so that what is made of one stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def texts_of(column: pa.Array) -> Iterator[str]:
     """The texts of an Arrow column one by one; null counts as empty."""
     for value in column:
@@ -83,7 +90,7 @@ def scored(docs: DataFrame, score, modulus: int, held: int, threshold: float) ->
     """`(doc_id, held_out, score, predicted)` of every row; `score` maps an Arrow batch of texts to numbers."""
 
     def batches(given):
-        for batch in given:
+        for batch in slices(given):
             found = pa.array(score(texts_of(batch["text"])), pa.float64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], found], ["doc_id", "score"])
 
@@ -98,7 +105,7 @@ def kept_by_text(docs: DataFrame, decide) -> DataFrame:
     """Rows of `docs`, all columns, whose text `decide` (Arrow texts to booleans) keeps; one pass, no shuffle."""
 
     def batches(given):
-        for batch in given:
+        for batch in slices(given):
             yield batch.filter(pa.array(decide(texts_of(batch["text"])), pa.bool_()))
 
     return on_workers(docs, batches, docs.schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import on_workers, table, texts_of
+from inkwell.llm.common import on_workers, slices, table, texts_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -207,7 +207,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def batches(given: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             index = index_of(block)
-            for batch in given:
+            for batch in slices(given):
                 hits = []
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), texts_of(batch["text"])):
                     if own := index.search(text):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import fold, on_workers, settle, table, texts_of
+from inkwell.llm.common import fold, on_workers, settle, slices, table, texts_of
 
 MODULUS, HELD = 5, 0
 #: The model's size, at most: words and n-grams, those with the highest share in any language.
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def batches(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in given:
+        for batch in slices(given):
             found = [scorer.predict(t) for t in texts_of(batch["text"])]
             columns = [batch["doc_id"], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])

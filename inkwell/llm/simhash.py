@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import on_workers, settle, table, texts_of
+from inkwell.llm.common import on_workers, settle, slices, table, texts_of
 from inkwell.llm.graph import components
 
 SHINGLE = 3
@@ -51,7 +51,7 @@ def fingerprint(words: list[bytes], size: int = SHINGLE, step: int = 1 << 16) ->
 
 
 def _fingerprint_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [fingerprint(t.encode().lower().split()) for t in texts_of(batch["text"])]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.int64())], ["doc_id", "fp"])
 
