@@ -46,8 +46,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """`(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)` of every document, encoded and decoded again."""
-    decoded = bpe.decode(bpe.encode(docs))
-    return bpe.digests(decoded, "ids")
+    return bpe.digests(bpe.recode(docs), "ids")
 
 
 STAGES = [

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from inkwell.llm.common import on_workers, ragged, slices, table, texts_of
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Words and pairs of tokens whose results a worker keeps at a time.
+#: Words, pieces and pairs of tokens whose results a worker keeps, about.
 KEPT = 200_000
 #: Stands for the word end; private use, so no byte letter.
 _END = "\ue000"
@@ -40,6 +40,24 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+class Recent:
+    """The last KEPT results and those before them, at most as many again."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, key: str, make) -> bytes:
+        """The result for a key that `new` doesn't have."""
+        found = self.old.get(key)
+        if found is None:
+            found = make(key)
+        if len(self.new) >= KEPT:
+            self.old, self.new = self.new, {}
+        self.new[key] = found
+        return found
+
+
 class PrefixEncoder:
     """Encodes words of a BPE vocabulary whose words end with a suffix.
 
@@ -72,8 +90,8 @@ class PrefixEncoder:
         self.pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.library = Tokenizer.from_file(path)
         self.letters = byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.words = Recent()
+        self.chunks = Recent()
 
     def _automaton(self, tokens: dict[str, int]) -> None:
         """Of each state: the next states by letter, and the tokens that end there, longest first, with their letters."""
@@ -169,34 +187,23 @@ class PrefixEncoder:
         normal = self.library.normalizer.normalize_str(chunk)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
+    def _word(self, word: str) -> bytes:
+        return array("i", self.encode_word(word)).tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
-        parts = []
-        for word in self._words(chunk):
-            known = self.words.get(word)
-            if known is None:
-                known = array("i", self.encode_word(word)).tobytes()
-                if len(self.words) >= KEPT:
-                    self.words.clear()
-                self.words[word] = known
-            parts.append(known)
-        found = b"".join(parts)
-        if len(self.chunks) >= KEPT:
-            self.chunks.clear()
-        self.chunks[chunk] = found
-        return found
+        return b"".join([self.words.new.get(w) or self.words.find(w, self._word) for w in self._words(chunk)])
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text."""
         sections = self.pattern.split(text) if self.pattern and "<|" in text else [text]
         parts: list[bytes] = []
-        chunks = self.chunks
+        recent = self.chunks
         for n, section in enumerate(sections):
             if n % 2:
                 parts.append(np.array([self.special[section]], "<i4").tobytes())
                 continue
             for chunk in _ASCII_SPACE.split(section) if _NO_SPACE.search(section) else section.split():
-                # The dictionary may be emptied meanwhile.
-                parts.append(chunks.get(chunk) or self._chunk(chunk))
+                parts.append(recent.new.get(chunk) or recent.find(chunk, self._chunk))
         return np.frombuffer(b"".join(parts), "<i4")
 
 
@@ -253,6 +260,20 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
     return on_workers(encoded.select("doc_id", "ids"), batches, "doc_id long, ids array<int>, decoded string")
 
 
+def recode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """`decode(encode(docs))` in one pass."""
+
+    def batches(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, back = encoder(path), decoder(path)
+        for batch in slices(given):
+            ids = [there.encode(t) for t in texts_of(batch["text"])]
+            texts = pa.array([back.decode(x.tolist()) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], ragged(ids, pa.int32()), texts], ["doc_id", "ids", "decoded"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return on_workers(rows, batches, "doc_id long, ids array<int>, decoded string")
+
+
 def digests(decoded: DataFrame, *more: str) -> DataFrame:
     """`(doc_id, n_tokens, ids_sha256, decoded_sha256)` and `more` columns."""
     listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
@@ -263,4 +284,4 @@ def digests(decoded: DataFrame, *more: str) -> DataFrame:
 
 
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(decode(encode(table(spark, sf_dir, "documents"))))
+    return digests(recode(table(spark, sf_dir, "documents")))
