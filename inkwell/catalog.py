@@ -179,6 +179,16 @@ def hits_to_json(spark, sf_dir):
     )
 
 
+@query
+def hits_json_array(spark, sf_dir):
+    """The array form, with an empty array for searches that find nothing."""
+    rows = reports.hits_to_json_array(testtables.search_log(spark, sf_dir), hits_for(spark, sf_dir))
+    return rows.select(
+        "query_id", F.json_array_length("json").cast("long").alias("n_hits"), (F.col("json") == "[]").alias("is_empty"),
+        F.get_json_object("json", "$[0].id").alias("first_id"), F.get_json_object("json", "$[1].link").alias("second_link"),
+    )
+
+
 @query
 def hits_to_text(spark, sf_dir):
     return reports.hits_to_text(hits_for(spark, sf_dir))
@@ -382,6 +392,16 @@ def status_report(spark, sf_dir):
     return reports.status_report(docs, state, NOW)
 
 
+@query
+def stored_size(spark, sf_dir):
+    """The size of a stored snapshot; how many bytes depends on the writer, so only their being there is compared."""
+    stored = archive.write_documents(testtables.archive(spark, sf_dir), scratch_path(spark, "snapshot"))
+    size = reports.stored_bytes(stored)
+    return size.select((F.col("n_bytes") > 0).alias("has_bytes"), F.col("size").rlike("^[0-9.]+ (B|KB|MB)$").alias("is_readable")).crossJoin(
+        reports.document_count(stored).select(F.col("n_docs"))
+    )
+
+
 @query
 def document_frequency(spark, sf_dir):
     return matching.document_frequency(_matches(spark, sf_dir))
@@ -523,6 +543,14 @@ def search_one(spark, sf_dir):
     return hits.select("rank", "id", "title", "snippet", F.round("score", 6).alias("score"))
 
 
+@query
+def large_limit(spark, sf_dir):
+    """Both routes with a limit above everything that Spark limits before a shuffle by itself."""
+    log = testtables.search_log(spark, sf_dir)
+    hits = searching.search_batch(index_for(spark, sf_dir), log, limit=5000)
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
 @query
 def no_text_route(spark, sf_dir):
     return hits_for(spark, sf_dir).where("score = 0").select("query_id", "rank", "id", "snippet")
@@ -566,6 +594,59 @@ def watermark_advance(spark, sf_dir):
     )
 
 
+def _archive_state(spark, root: str, step: str) -> DataFrame:
+    state = archive.read_state(spark, f"{root}/state")
+    docs = archive.read_documents(spark, archive.state_value(state, sync.CURRENT))
+    mark = F.lit(archive.state_value(state, archive.LAST_SYNC)).cast("string")
+    return docs.agg(F.count("*").alias("n_docs")).select(F.lit(step).alias("step"), "n_docs", mark.alias("last_sync_at"))
+
+
+@query
+def incomplete_landing(spark, sf_dir):
+    """A second run with a prune of which every other page has not landed: it fails and changes nothing."""
+    pages = api_pages.read_all_types(spark, landed_for(spark, sf_dir))
+    some, root = pages.where("page % 2 = 1"), scratch_path(spark, "synced")
+    sync.run_sync(spark, pages, root, SITE, now=WATERMARK)
+    steps = []
+    for step, landed, live in (("landing", some, None), ("listing", pages, some)):
+        try:
+            sync.run_sync(spark, landed, root, SITE, full=True, live_pages=live, now=NOW)
+            step = "no failure"
+        except sync.IncompleteLanding:
+            pass
+        steps.append(_archive_state(spark, root, step))
+    return steps[0].unionByName(steps[1])
+
+
+@query
+def page_wise_commit(spark, sf_dir):
+    """Three page sets of which the second can't be read, then all three, twice."""
+    pages = api_pages.read_all_types(spark, landed_for(spark, sf_dir))
+    sets = [pages.where(F.col("page") % 3 == k) for k in (1, 2, 0)]
+    broken = api_pages.parse_pages(spark.range(1).select(F.lit("<html>").alias("value")), "post")
+    root = scratch_path(spark, "synced")
+    try:
+        sync.run_page_sets(spark, [sets[0], sets[1].unionByName(broken), sets[2]], root, SITE, now=WATERMARK)
+        steps = [_archive_state(spark, root, "no failure")]
+    except Exception:  # whatever Spark makes of a body that is no JSON
+        steps = [_archive_state(spark, root, "broken")]
+    for step, mark in (("whole", WATERMARK), ("again", NOW)):
+        sync.run_page_sets(spark, sets, root, SITE, full=True, now=mark)
+        steps.append(_archive_state(spark, root, step))
+    return steps[0].unionByName(steps[1]).unionByName(steps[2])
+
+
+@query
+def same_id_two_types(spark, sf_dir):
+    """Pages landed under ids of posts: the later type stays."""
+    root = scratch_path(spark, "landed")
+    testtables.landed_pages(testtables.raw_json_posts(spark, sf_dir), "posts", root)
+    renamed = F.col("record").withField("id", F.concat(F.lit("d"), F.col("n").cast("string")))
+    testtables.landed_pages(testtables.raw_json_pages(spark, sf_dir).withColumn("record", renamed), "pages", root)
+    nothing = spark.createDataFrame([], archive.DOCUMENT_SCHEMA)
+    return sync.sync_archive(nothing, api_pages.read_all_types(spark, root), SITE).documents.select("id", "type")
+
+
 @query
 def prune(spark, sf_dir):
     return merging.prune(testtables.archive(spark, sf_dir), _live(spark, sf_dir)).select("id", "status")

@@ -26,7 +26,18 @@ JS_SPACE = (
     "\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
-LETTER = r"\p{L}\p{N}\p{Co}"
+# Symbols that the index tokenizer's Unicode version does not know yet; it keeps them as letters.
+LATE_SYMBOLS = (
+    (0x20BA, 0x20C0), (0x23F4, 0x23FF), (0x2700, 0x2700), (0x2B4D, 0x2B4F), (0x2B5A, 0x2B73), (0x2B76, 0x2B95),
+    (0x2B97, 0x2BFF), (0x1F02C, 0x1F02F), (0x1F094, 0x1F09F), (0x1F0AF, 0x1F0B0), (0x1F0BF, 0x1F0C0),
+    (0x1F0D0, 0x1F0D0), (0x1F0E0, 0x1F0FF), (0x1F10D, 0x1F10F), (0x1F12F, 0x1F12F), (0x1F16C, 0x1F16F),
+    (0x1F19B, 0x1F1E5), (0x1F203, 0x1F20F), (0x1F23B, 0x1F23F), (0x1F249, 0x1F24F), (0x1F252, 0x1F2FF),
+    (0x1F321, 0x1F32F), (0x1F336, 0x1F336), (0x1F37D, 0x1F37F), (0x1F394, 0x1F39F), (0x1F3C5, 0x1F3C5),
+    (0x1F3CB, 0x1F3DF), (0x1F3F1, 0x1F3FF), (0x1F43F, 0x1F43F), (0x1F441, 0x1F441), (0x1F4F8, 0x1F4F8),
+    (0x1F4FD, 0x1F4FF), (0x1F53E, 0x1F53F), (0x1F544, 0x1F54F), (0x1F568, 0x1F5FA), (0x1F641, 0x1F644),
+    (0x1F650, 0x1F67F), (0x1F6C6, 0x1F6FF), (0x1F774, 0x1FAFF),
+)
+LETTER = r"\p{L}\p{N}\p{Co}" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATE_SYMBOLS)
 TERM_PATTERN = f"[{LETTER}]+"
 # A word in unfolded text: marks may follow its first letter.
 WORD_PATTERN = f"[{LETTER}][{LETTER}{DROPPED_MARKS}]*"

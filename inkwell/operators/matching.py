@@ -13,10 +13,11 @@ COLUMN_STEP = 1 << 32
 
 
 def with_clause_key(clauses: DataFrame) -> DataFrame:
-    """Equal clauses of different queries get one key and are matched once."""
+    """Equal clauses of different queries get one key and are matched once. The terms enter as a
+    digest, so that long phrases make no long keys."""
     scope = F.when(F.col("title_only"), "title").otherwise("any")
     kind = F.when(F.col("prefix"), "prefix").otherwise("whole")
-    return clauses.withColumn("clause_key", F.concat_ws(" ", scope, kind, F.array_join("terms", " ")))
+    return clauses.withColumn("clause_key", F.concat_ws(" ", scope, kind, F.sha2(F.array_join("terms", " "), 256)))
 
 
 def clause_slots(clauses: DataFrame) -> DataFrame:

@@ -12,10 +12,6 @@ MIN_IDF = 1e-6
 # Fixed value: hits per query where nothing else is asked for.
 DEFAULT_LIMIT = 50
 
-# From this limit on Spark no longer limits groups before a shuffle by itself.
-OWN_GROUP_LIMIT = 1000
-SPREAD = 256
-
 
 def effective_limit(limit: int | None) -> int:
     """A missing or non-positive limit is the default one."""
@@ -39,17 +35,22 @@ def bm25(parts: Column, n_tokens: Column, avg_len: float) -> Column:
     )
 
 
+def top_rows(rows: DataFrame, keys: list[str], order: list, limit: int) -> DataFrame:
+    """The first `limit` rows of every group, with their `rank`.
+
+    Each group is cut within every input partition first, so that a group of any size meets in
+    one task as at most `limit` rows a partition, whatever the limit is.
+    """
+    parts = rows.withColumn("_part", F.spark_partition_id())
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    cut = parts.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= limit).drop("_n", "_part")
+    over_all = Window.partitionBy(*keys).orderBy(*order)
+    return cut.withColumn("rank", F.row_number().over(over_all)).where(F.col("rank") <= limit)
+
+
 def best_first(scored: DataFrame, limit: int) -> DataFrame:
-    """Ranks per query. Spark limits each group before the shuffle too, so a query that
-    matches the whole archive sends only `limit` rows per partition to its task. Spark leaves
-    that out for limits above its threshold; there, parts of each query are cut first."""
-    order = Window.partitionBy("query_id").orderBy("score", "id")
-    if limit >= OWN_GROUP_LIMIT:
-        part = F.pmod(F.xxhash64("id"), F.lit(SPREAD)).alias("part")
-        within = Window.partitionBy("query_id", "part").orderBy("score", "id")
-        spread = scored.select("*", part).withColumn("n", F.row_number().over(within))
-        scored = spread.where(F.col("n") <= limit).drop("n", "part")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    """Ranks per query."""
+    return top_rows(scored, ["query_id"], [F.col("score"), F.col("id")], limit)
 
 
 def newest_order() -> list[Column]:
@@ -118,21 +119,12 @@ def newest_first_batch(docs: DataFrame, queries: DataFrame, limit: int, with_tag
         .join(specs.select("facet").distinct(), "facet", "left_semi")
         .withColumn("day", F.substring("published_at", 1, 10))
     )
-    newest_of_day = Window.partitionBy("facet", "day").orderBy(*newest_order())
-    short = (
-        listed.withColumn("n", F.row_number().over(newest_of_day))
-        .where(F.col("n") <= limit)
-        .select("facet", "day", "id", "published_at", "updated_at")
+    short = top_rows(listed, ["facet", "day"], newest_order(), limit).select(
+        "facet", "day", "id", "published_at", "updated_at"
     )
-    newest_of_spec = Window.partitionBy("spec").orderBy(*newest_order())
     inside = (F.col("after").isNull() | F.coalesce(F.col("day") >= F.col("after"), F.lit(False))) & (
         F.col("before").isNull() | F.coalesce(F.col("day") < F.col("before"), F.lit(False))
     )
-    ranked = (
-        short.join(specs.select("facet", "spec", "before", "after"), "facet")
-        .where(inside)
-        .withColumn("rank", F.row_number().over(newest_of_spec))
-        .where(F.col("rank") <= limit)
-        .select("spec", "id", "rank")
-    )
+    read = short.join(specs.select("facet", "spec", "before", "after"), "facet").where(inside)
+    ranked = top_rows(read, ["spec"], newest_order(), limit).select("spec", "id", "rank")
     return keyed.select("query_id", "spec").join(ranked, "spec").select("query_id", "id", "rank")

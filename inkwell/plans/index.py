@@ -24,6 +24,7 @@ from inkwell.operators.indexing import (
     token_count,
     update_postings,
 )
+from inkwell.sources.archive import DOCUMENT_SCHEMA
 
 STORED_COLUMNS = (*DOCUMENT_COLUMNS, "n_tokens", "id_bucket")
 
@@ -57,6 +58,19 @@ def _stored_form(docs: DataFrame, buckets: int) -> DataFrame:
     )
 
 
+def _read(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """One part of a stored index. The schemas are fixed: without documents or tokens there is no
+    file to tell them."""
+    documents = _stored_form(spark.createDataFrame([], DOCUMENT_SCHEMA), 1)
+    if part == "documents":
+        return spark.read.schema(documents.schema).parquet(f"{path}/{part}")
+    postings = build_postings(documents).withColumn("term_bucket", bucket_of(F.col("term"), 1))
+    if part == "postings":
+        return spark.read.schema(postings.schema).parquet(f"{path}/{part}")
+    vocab = build_vocab(postings).withColumn("stem_bucket", bucket_of(F.col("stem"), 1))
+    return spark.read.schema(vocab.schema).parquet(f"{path}/{part}")
+
+
 def _finish(spark: SparkSession, postings: DataFrame, path: str, buckets: int) -> ArchiveIndex:
     """Write what follows from the stored documents and the postings. `corpus` comes last: a
     folder without it is no index."""
@@ -64,12 +78,12 @@ def _finish(spark: SparkSession, postings: DataFrame, path: str, buckets: int) -
         postings.withColumn("term_bucket", bucket_of(F.col("term"), buckets)),
         f"{path}/postings", "term_bucket", ["term", "id"],
     )
-    vocab = build_vocab(spark.read.parquet(f"{path}/postings"))
+    vocab = build_vocab(_read(spark, path, "postings"))
     _write_bucketed(
         vocab.withColumn("stem_bucket", bucket_of(F.col("stem"), buckets)),
         f"{path}/vocab", "stem_bucket", ["stem", "term"],
     )
-    stats = corpus_stats(spark.read.parquet(f"{path}/documents"))
+    stats = corpus_stats(_read(spark, path, "documents"))
     stats.withColumn("buckets", F.lit(buckets)).coalesce(1).write.parquet(f"{path}/corpus")
     return open_index(spark, path)
 
@@ -83,18 +97,18 @@ def build_index(spark: SparkSession, docs: DataFrame, path: str, buckets: int =
     placed = docs.select(*DOCUMENT_COLUMNS, bucket_of(F.col("id"), buckets).alias("id_bucket"))
     counted = placed.hint("rebalance", "id_bucket").withColumn("n_tokens", token_count())
     counted.sortWithinPartitions("id_bucket", "id").write.partitionBy("id_bucket").parquet(f"{path}/documents")
-    stored = spark.read.parquet(f"{path}/documents")
-    return _finish(spark, build_postings(stored), path, buckets)
+    return _finish(spark, build_postings(_read(spark, path, "documents")), path, buckets)
 
 
 def open_index(spark: SparkSession, path: str) -> ArchiveIndex:
     corpus = spark.read.parquet(f"{path}/corpus").first()
     return ArchiveIndex(
-        documents=spark.read.parquet(f"{path}/documents"),
-        postings=spark.read.parquet(f"{path}/postings"),
-        vocab=spark.read.parquet(f"{path}/vocab"),
+        documents=_read(spark, path, "documents"),
+        postings=_read(spark, path, "postings"),
+        vocab=_read(spark, path, "vocab"),
         n_docs=corpus["n_docs"],
-        avg_len=corpus["avg_len"],
+        # Without documents nothing is scored.
+        avg_len=corpus["avg_len"] or 1.0,
         buckets=corpus["buckets"],
     )
 

@@ -30,29 +30,16 @@ from inkwell.operators.ranking import (
 from inkwell.operators.searchlog import FILTERS, clauses_of, parse_log, queries_of
 from inkwell.operators.snippets import clause_instances, snippets
 from inkwell.plans.index import ArchiveIndex
-from inkwell.session import scratch_path
-
-# Clauses come from the characters of the log, so a log within this size has a bounded number.
-BROADCAST_LOG_BYTES = 4 << 20
+from inkwell.session import settle
 
 HIT_COLUMNS = ("query_id", "rank", *DOCUMENT_COLUMNS, "snippet", "score")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a small intermediate result to the shared folder and read it back.
-
-    Its size is known from then on, so Spark itself decides whether to broadcast it, and lost
-    executors do not recompute what came before.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def distinct_queries(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The log with a query key, and each different query once under that key."""
+    """The log with a query key, and each different query once under that key. Keys are digests,
+    so that rows that carry them stay small however long a search string is."""
     mode = F.when(F.coalesce("prefix_last", F.lit(False)), "typed ").otherwise("whole ")
-    keyed = log.withColumn("query_key", F.concat(mode, F.col("raw")))
+    keyed = log.withColumn("query_key", F.concat(mode, F.sha2("raw", 256)))
     once = keyed.select(
         F.col("query_key").alias("query_id"), "raw", F.col("query_key").startswith("typed ").alias("prefix_last")
     ).dropDuplicates(["query_id"])
@@ -70,7 +57,6 @@ class ParsedLog:
     has_prefix: bool
     has_phrases: bool
     has_tags: bool
-    small: bool
 
 
 def read_log(once: DataFrame) -> ParsedLog:
@@ -85,7 +71,6 @@ def read_log(once: DataFrame) -> ParsedLog:
         F.max(F.col("n_positive") > 0).alias("has_text"),
         F.max(F.col("n_positive") == 0).alias("has_no_text"),
         F.max(F.col("tag").isNotNull() & (F.col("n_positive") == 0)).alias("has_tags"),
-        F.sum(F.octet_length("raw")).alias("n_bytes"),
     ).first()
     by_clause = clauses.agg(
         F.max("prefix").alias("has_prefix"), F.max(F.size("terms") > 1).alias("has_phrases")
@@ -98,15 +83,14 @@ def read_log(once: DataFrame) -> ParsedLog:
         has_prefix=bool(by_clause["has_prefix"]),
         has_phrases=bool(by_clause["has_phrases"]),
         has_tags=bool(by_query["has_tags"]),
-        small=(by_query["n_bytes"] or 0) <= BROADCAST_LOG_BYTES,
     )
 
 
 def clause_terms(index: ArchiveIndex, log: ParsedLog) -> DataFrame:
     """The terms of the archive that the clauses of a log stand for."""
-    slots = clause_slots(log.clauses)
+    slots = settle(clause_slots(log.clauses), "slots")
     return settle(
-        widen_slots(F.broadcast(slots) if log.small else slots, index.vocab, index.buckets, log.has_prefix),
+        widen_slots(slots, index.vocab, index.buckets, log.has_prefix),
         "slot-terms",
     )
 
@@ -120,16 +104,15 @@ def clause_matches(index: ArchiveIndex, log: ParsedLog, slot_terms: DataFrame) -
 
 def text_hits(index: ArchiveIndex, log: ParsedLog, slot_terms: DataFrame, limit: int) -> DataFrame:
     """Scored top hits of the queries that have a positive clause."""
-    bounded = F.broadcast if log.small else (lambda df: df)
     matches = clause_matches(index, log, slot_terms)
     frequency = document_frequency(matches).withColumn("idf", inverse_frequency(F.col("n_docs"), index.n_docs))
     filters = log.queries.select("query_id", "n_positive", F.struct(*FILTERS).alias("q"))
     query_clauses = (
         log.clauses.select("query_id", "clause_no", "negated", "clause_key")
-        .join(bounded(filters), "query_id")
-        .join(bounded(frequency.select("clause_key", "idf")), "clause_key")
+        .join(filters, "query_id")
+        .join(frequency.select("clause_key", "idf"), "clause_key")
     )
-    held = combine_clauses(matches, bounded(query_clauses), F.struct("clause_no", "freq", "idf"))
+    held = combine_clauses(matches, query_clauses, F.struct("clause_no", "freq", "idf"))
     passed = held.where(query_filters_hold(F.col("tags_csv")))
     scored = passed.select("query_id", "id", bm25(F.col("parts"), F.col("n_tokens"), index.avg_len).alias("score"))
     return best_first(scored, limit).select("query_id", "id", "rank", "score")

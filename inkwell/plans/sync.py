@@ -3,21 +3,46 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.functions.fields import DOC_TYPES
 from inkwell.operators.cleaning import normalize_documents
 from inkwell.operators.filters import changed_since
 from inkwell.operators.merging import merge_counts, merge_documents, prune, removed_count
-from inkwell.sources.api_pages import page_documents, read_ids
-from inkwell.sources.archive import LAST_SYNC, read_documents, read_state, state_value, write_documents, write_state
+from inkwell.operators.reports import type_counts
+from inkwell.session import settle
+from inkwell.sources.api_pages import page_coverage, page_documents, read_ids
+from inkwell.sources.archive import (
+    DOCUMENT_SCHEMA,
+    LAST_SYNC,
+    read_documents,
+    read_state,
+    state_value,
+    write_documents,
+    write_state,
+)
 
 CURRENT = "current_snapshot"
 
 
+class IncompleteLanding(ValueError):
+    """Pages of a collection are missing, so nothing may be deleted or marked as seen."""
+
+
+def require_complete(pages: DataFrame, what: str) -> None:
+    """Every type has all the pages it announces, and at most one of them without a number."""
+    rows = {r["type"]: r for r in page_coverage(pages).collect()}
+    unnumbered = pages.where("page is null").groupBy("type").agg(F.count("*").alias("n")).where("n > 1").collect()
+    lacking = [t for t in DOC_TYPES if t not in rows or rows[t]["n_missing"]] + [r["type"] for r in unnumbered]
+    if lacking:
+        raise IncompleteLanding(f"{what}: pages are missing or unnumbered for {', '.join(lacking)}")
+
+
 def plan_sync(batch: DataFrame, watermark: str | None, full: bool) -> DataFrame:
     """M3: everything where asked for or where there is no watermark yet, else what changed."""
     return batch if full else changed_since(batch, watermark)
@@ -27,6 +52,7 @@ def plan_sync(batch: DataFrame, watermark: str | None, full: bool) -> DataFrame:
 class SyncPlan:
     documents: DataFrame
     counts: DataFrame
+    batch: DataFrame
 
 
 def sync_archive(
@@ -37,45 +63,90 @@ def sync_archive(
     full: bool = False,
     live_pages: DataFrame | None = None,
 ) -> SyncPlan:
-    """The merged archive and `added`, `updated`, `removed`, all lazy.
+    """The merged archive and `added`, `updated`, `removed`, all lazy over the batch, which is
+    parsed once and stored.
 
     A full run rereads everything and deletes nothing; only `live_pages`, the id listing of a
-    prune, removes documents, and it does so after the merge.
+    prune, removes documents, and it does so after the merge. Types follow each other in their
+    fixed order, so of an id in two types the later one stays.
     """
-    batch = plan_sync(normalize_documents(page_documents(pages), site, keep_order=True), watermark, full)
-    merged = merge_documents(current, batch, ["type", "page", "item"])
+    records = normalize_documents(page_documents(pages), site, keep_order=True)
+    turn = F.array_position(F.array(*map(F.lit, DOC_TYPES)), F.col("type")).alias("turn")
+    batch = settle(plan_sync(records, watermark, full).select("*", turn), "sync-batch")
+    merged = merge_documents(current, batch, ["turn", "page", "item"])
     counts = merge_counts(current, batch)
     if live_pages is None:
-        return SyncPlan(merged, counts.withColumn("removed", F.lit(0).cast("long")))
-    live = read_ids(page_documents(live_pages))
+        return SyncPlan(merged, counts.withColumn("removed", F.lit(0).cast("long")), batch)
+    live = settle(read_ids(page_documents(live_pages)), "live-ids")
     removed = removed_count(merged, live).scalar()
-    return SyncPlan(prune(merged, live), counts.withColumn("removed", removed))
+    return SyncPlan(prune(merged, live), counts.withColumn("removed", removed), batch)
+
+
+def _held(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    state = read_state(spark, f"{root}/state")
+    snapshot = state_value(state, CURRENT)
+    return state, read_documents(spark, snapshot) if snapshot else spark.createDataFrame([], DOCUMENT_SCHEMA)
+
+
+def _store(spark: SparkSession, root: str, documents: DataFrame, watermark: str | None) -> None:
+    """A snapshot first, then the state that names it."""
+    seq = time.time_ns()
+    path = f"{root}/snapshot-{seq}"
+    write_documents(documents, path)
+    entries = [(CURRENT, path, seq)] + ([(LAST_SYNC, watermark, seq)] if watermark else [])
+    write_state(spark.createDataFrame(entries, "key string, value string, seq long"), f"{root}/state")
+
+
+def _now(now: str | None) -> str:
+    return now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
 
 
 def run_sync(
     spark: SparkSession, pages: DataFrame, root: str, site: str,
     full: bool = False, live_pages: DataFrame | None = None, now: str | None = None,
 ) -> dict[str, int]:
-    """One stored run below `root`.
+    """One stored run below `root`; returns `added`, `updated`, `removed` and the
+    documents seen per type.
 
     The watermark is taken before anything is read and stored only after the snapshot is
-    complete, so a failed run leaves the old archive and the old watermark.
+    complete, so a failed run leaves the old archive and the old watermark. A landing or an id
+    listing with missing pages fails before anything is written.
     """
-    started = now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
-    state = read_state(spark, f"{root}/state")
-    snapshot = state_value(state, CURRENT)
-    schema = (
-        "id string, type string, status string, title string, slug string, url string, editor_url string, "
-        "plaintext string, tags array<string>, published_at string, updated_at string"
-    )
-    current = read_documents(spark, snapshot) if snapshot else spark.createDataFrame([], schema)
+    started = _now(now)
+    require_complete(pages, "landing")
+    if live_pages is not None:
+        require_complete(live_pages, "id listing")
+    state, current = _held(spark, root)
     plan = sync_archive(current, pages, site, state_value(state, LAST_SYNC), full, live_pages)
-    seq = time.time_ns()
-    path = f"{root}/snapshot-{seq}"
-    write_documents(plan.documents, path)
     counts = plan.counts.first().asDict()
-    write_state(
-        spark.createDataFrame([(CURRENT, path, seq), (LAST_SYNC, started, seq)], "key string, value string, seq long"),
-        f"{root}/state",
-    )
-    return counts
+    seen = {r["type"]: r["n_docs"] for r in type_counts(plan.batch).collect()}
+    _store(spark, root, plan.documents, started)
+    return counts | {f"seen_{t}": seen[t] for t in DOC_TYPES}
+
+
+def run_page_sets(
+    spark: SparkSession, page_sets: Sequence[DataFrame], root: str, site: str, full: bool = False, now: str | None = None,
+) -> dict[str, int]:
+    """M5: commit landed page sets one after the other.
+
+    Each set is merged and stored before the next one is read, so a set that can't be read leaves
+    those before it in place; the watermark moves only after the last one. Running again repeats
+    the merges and leaves the same archive.
+    """
+    started = _now(now)
+    totals = {"added": 0, "updated": 0}
+    for pages in page_sets:
+        state, current = _held(spark, root)
+        plan = sync_archive(current, pages, site, state_value(state, LAST_SYNC), full)
+        counts = plan.counts.first().asDict()
+        totals = {k: totals[k] + counts[k] for k in totals}
+        _store(spark, root, plan.documents, None)
+    whole = None
+    for pages in page_sets:
+        whole = pages if whole is None else whole.unionByName(pages)
+    if whole is None:
+        raise IncompleteLanding("landing: no page set")
+    require_complete(whole, "landing")
+    state, current = _held(spark, root)
+    _store(spark, root, current, started)
+    return totals

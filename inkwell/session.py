@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
 from pyspark import SparkContext
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -34,10 +35,12 @@ _own_root: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """The shared folder named by the cluster.
 
-    A folder of its own is only chosen where the session names none, as in tests.
+    A folder of its own is only chosen where the session names none and runs on one machine, as in tests.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"a cluster needs {CHECKPOINT_KEY}: a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         root = _own_root.setdefault(app, "") or tempfile.mkdtemp(prefix="inkwell-")
         _own_root[app] = root
@@ -49,6 +52,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    Its size is known from then on, so Spark itself decides whether to broadcast it, and lost
+    executors do not recompute what came before. The folder stays until the caller clears the
+    shared folder, since lazy results still read it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build_once(build):
     """Keep the columns a function of plain values returns.
 

@@ -92,8 +92,12 @@ def missing_pages(pages: DataFrame) -> DataFrame:
 
 
 def read_ids(documents: DataFrame) -> DataFrame:
-    """S3: ids and change times only, as the prune pass needs them."""
-    return documents.select(
+    """S3: ids and change times only, as the prune pass needs them. A record without an id fails
+    the listing: what it stands for must not be pruned."""
+    has_id = F.when(variant_string(F.col("doc"), "$.id").isNotNull(), F.lit(True)).otherwise(
+        F.raise_error(F.lit("a listed record has no id"))
+    )
+    return documents.where(has_id).select(
         variant_string(F.col("doc"), "$.id").alias("id"),
         F.coalesce(variant_string(F.col("doc"), "$.updated_at"), F.lit("")).alias("updated_at"),
     )

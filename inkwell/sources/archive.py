@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkwell.functions.fields import DOCUMENT_COLUMNS
+
 STATE_SCHEMA = T.StructType(
     [T.StructField("key", T.StringType()), T.StructField("value", T.StringType()), T.StructField("seq", T.LongType())]
 )
+DOCUMENT_SCHEMA = T.StructType(
+    [T.StructField(n, T.ArrayType(T.StringType()) if n == "tags" else T.StringType()) for n in DOCUMENT_COLUMNS]
+)
 LAST_SYNC = "last_sync_at"
 
 
@@ -20,9 +25,8 @@ def write_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    from inkwell.functions.fields import DOCUMENT_COLUMNS
-
-    return spark.read.parquet(path).select(*DOCUMENT_COLUMNS)
+    """The schema is fixed: a snapshot without documents has no file to tell it."""
+    return spark.read.schema(DOCUMENT_SCHEMA).parquet(path).select(*DOCUMENT_COLUMNS)
 
 
 def latest_state(entries: DataFrame) -> DataFrame:

@@ -101,18 +101,20 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten search strings per benchmark item, one of each form."""
-    first_line = F.split_part("text", F.lit("\n"), F.lit(1))
+    """Ten search strings per benchmark item, one of each form, from words of all its lines."""
+    whole = F.translate("text", "\n", " ")
     w = F.col("w")
     forms = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("form")
     items = table(spark, sf_dir, "benchmark").select("*", forms).select(
         (F.col("item_id") * 10 + F.col("form")).alias("query_id"),
         "form",
-        F.filter(F.split(F.regexp_replace(first_line, '[":]', " "), " +"), lambda x: x != "").alias("w"),
+        F.filter(F.split(F.regexp_replace(whole, '[":]', " "), " +"), lambda x: x != "").alias("w"),
         F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "ES"))), (F.pmod("item_id", F.lit(4)) + 1).cast("int")).alias("lang"),
         F.pmod(F.col("item_id"), F.lit(3)).alias("y"),
     )
-    word = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit("the"))
+    # Each form starts a tenth of the text further on.
+    start = F.floor(F.size(w) * F.col("form") / 10).cast("int")
+    word = lambda i: F.coalesce(F.get(w, start + i), F.lit("the"))
     year = lambda base: (F.col("y") + base).cast("string")
     text = (
         F.when(F.col("form") == 0, F.concat_ws(" ", word(0), word(1)))

@@ -62,7 +62,7 @@ def stem_of(source: str, name: str = "stems") -> str:
 
     def split(n, prev, words):
         return (
-            f"{name}_{n} AS (SELECT term, w, s, left(w, length(w) - length(s)) AS b FROM "
+            f"{name}_{n} AS MATERIALIZED (SELECT term, w, s, left(w, length(w) - length(s)) AS b FROM "
             f"(SELECT term, w, regexp_extract(w, '{sfx(words)}') AS s FROM {prev}))"
         )
 
@@ -72,27 +72,27 @@ def stem_of(source: str, name: str = "stems") -> str:
     m0, m1, m_is1 = t.MEASURE_OVER_0, t.MEASURE_OVER_1, t.MEASURE_IS_1
     has = lambda col, p: f"regexp_matches({col}, '{p}')"
     return ",\n".join([
-        f"{name}_a AS (SELECT term, regexp_replace(term, '^y', 'Y') AS w FROM {source})",
-        f"{name}_b AS (SELECT term, CASE WHEN {has('w', '(?:..sses|.ies)$')} THEN left(w, length(w) - 2) "
+        f"{name}_a AS MATERIALIZED (SELECT term, regexp_replace(term, '^y', 'Y') AS w FROM {source})",
+        f"{name}_b AS MATERIALIZED (SELECT term, CASE WHEN {has('w', '(?:..sses|.ies)$')} THEN left(w, length(w) - 2) "
         f"WHEN {has('w', '[^s]s$')} THEN left(w, length(w) - 1) ELSE w END AS w FROM {name}_a)",
         split("c", f"{name}_b", ("eed", "ed", "ing")),
-        f"{name}_d AS (SELECT term, w, s, b, (s IN ('ed', 'ing') AND {has('b', t.HAS_VOWEL)}) OR w = 'eed' AS cut FROM {name}_c)",
-        f"{name}_e AS (SELECT term, cut, CASE WHEN w = 'eed' THEN 'e' WHEN cut THEN b "
+        f"{name}_d AS MATERIALIZED (SELECT term, w, s, b, (s IN ('ed', 'ing') AND {has('b', t.HAS_VOWEL)}) OR w = 'eed' AS cut FROM {name}_c)",
+        f"{name}_e AS MATERIALIZED (SELECT term, cut, CASE WHEN w = 'eed' THEN 'e' WHEN cut THEN b "
         f"WHEN s = 'eed' AND {has('b', m0)} THEN b || 'ee' ELSE w END AS w FROM {name}_d)",
-        f"{name}_f AS (SELECT term, CASE WHEN NOT cut THEN w WHEN {has('w', '.(?:at|bl|iz)$')} THEN w || 'e' "
+        f"{name}_f AS MATERIALIZED (SELECT term, CASE WHEN NOT cut THEN w WHEN {has('w', '.(?:at|bl|iz)$')} THEN w || 'e' "
         f"WHEN {has('w', t.DOUBLE_END)} THEN left(w, length(w) - 1) "
         f"WHEN {has('w', m_is1)} AND {has('w', t.SHORT_END)} THEN w || 'e' ELSE w END AS w FROM {name}_e)",
-        f"{name}_g AS (SELECT term, CASE WHEN w LIKE '%y' AND {has('left(w, length(w) - 1)', t.HAS_VOWEL)} "
+        f"{name}_g AS MATERIALIZED (SELECT term, CASE WHEN w LIKE '%y' AND {has('left(w, length(w) - 1)', t.HAS_VOWEL)} "
         f"THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM {name}_f)",
         split("h", f"{name}_g", t.STEP2),
-        f"{name}_i AS (SELECT term, CASE WHEN s <> '' AND {has('b', m0)} THEN b || {case_map(t.STEP2)} ELSE w END AS w FROM {name}_h)",
+        f"{name}_i AS MATERIALIZED (SELECT term, CASE WHEN s <> '' AND {has('b', m0)} THEN b || {case_map(t.STEP2)} ELSE w END AS w FROM {name}_h)",
         split("j", f"{name}_i", t.STEP3),
-        f"{name}_k AS (SELECT term, CASE WHEN s <> '' AND {has('b', m0)} THEN b || {case_map(t.STEP3)} ELSE w END AS w FROM {name}_j)",
+        f"{name}_k AS MATERIALIZED (SELECT term, CASE WHEN s <> '' AND {has('b', m0)} THEN b || {case_map(t.STEP3)} ELSE w END AS w FROM {name}_j)",
         split("l", f"{name}_k", t.STEP4),
-        f"{name}_m AS (SELECT term, CASE WHEN s <> '' AND {has('b', m1)} AND (s <> 'ion' OR b LIKE '%s' OR b LIKE '%t') THEN b ELSE w END AS w FROM {name}_l)",
+        f"{name}_m AS MATERIALIZED (SELECT term, CASE WHEN s <> '' AND {has('b', m1)} AND (s <> 'ion' OR b LIKE '%s' OR b LIKE '%t') THEN b ELSE w END AS w FROM {name}_l)",
         split("n", f"{name}_m", ("e",)),
-        f"{name}_o AS (SELECT term, CASE WHEN s = 'e' AND ({has('b', m1)} OR ({has('b', m_is1)} AND NOT {has('b', t.SHORT_END)})) THEN b ELSE w END AS w FROM {name}_n)",
-        f"{name}_p AS (SELECT term, CASE WHEN w LIKE '%ll' AND {has('w', m1)} THEN left(w, length(w) - 1) ELSE w END AS w FROM {name}_o)",
+        f"{name}_o AS MATERIALIZED (SELECT term, CASE WHEN s = 'e' AND ({has('b', m1)} OR ({has('b', m_is1)} AND NOT {has('b', t.SHORT_END)})) THEN b ELSE w END AS w FROM {name}_n)",
+        f"{name}_p AS MATERIALIZED (SELECT term, CASE WHEN w LIKE '%ll' AND {has('w', m1)} THEN left(w, length(w) - 1) ELSE w END AS w FROM {name}_o)",
         f"{name} AS (SELECT term, CASE WHEN strlen(term) < 3 OR strlen(term) > 64 THEN term ELSE regexp_replace(w, '^Y', 'y') END AS stem FROM {name}_p)",
     ])
 
@@ -100,13 +100,12 @@ def stem_of(source: str, name: str = "stems") -> str:
 LOG = """
 log_words AS (
   SELECT item_id * 10 + form AS query_id, form, ['en', 'fr', 'de', 'ES'][item_id % 4 + 1] AS lang, item_id % 3 AS y,
-    list_filter(string_split(regexp_replace(
-      CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, 1, instr(text, chr(10)) - 1) ELSE text END, '[":]', ' ', 'g'), ' '),
-      lambda x: x <> '') AS w
+    list_filter(string_split(regexp_replace(replace(text, chr(10), ' '), '[":]', ' ', 'g'), ' '), lambda x: x <> '') AS w
   FROM (SELECT *, unnest(range(10)) AS form FROM benchmark)),
 log_parts AS (
-  SELECT query_id, form, lang, y, coalesce(w[1], 'the') AS w0, coalesce(w[2], 'the') AS w1, coalesce(w[3], 'the') AS w2,
-    coalesce(w[4], 'the') AS w3, coalesce(w[5], 'the') AS w4, coalesce(w[6], 'the') AS w5 FROM log_words),
+  SELECT query_id, form, lang, y, coalesce(w[f + 1], 'the') AS w0, coalesce(w[f + 2], 'the') AS w1, coalesce(w[f + 3], 'the') AS w2,
+    coalesce(w[f + 4], 'the') AS w3, coalesce(w[f + 5], 'the') AS w4, coalesce(w[f + 6], 'the') AS w5
+  FROM (SELECT *, len(w) * form // 10 AS f FROM log_words)),
 log AS (
   SELECT query_id, form >= 8 AS prefix_last, CASE form
     WHEN 0 THEN w0 || ' ' || w1

@@ -41,7 +41,7 @@ DRAFT = "status NOT IN ('published', 'sent')"
 MATCHING = ",".join((ARCHIVE, TOKENS, LOG, PARSED, MATCHES)) + """,
 clause_keys AS (
   SELECT query_id, clause_no, len(terms) AS n_terms,
-    concat_ws(' ', CASE WHEN title_only THEN 'title' ELSE 'any' END, CASE WHEN prefix THEN 'prefix' ELSE 'whole' END, array_to_string(terms, ' ')) AS clause_key
+    concat_ws(' ', CASE WHEN title_only THEN 'title' ELSE 'any' END, CASE WHEN prefix THEN 'prefix' ELSE 'whole' END, sha256(array_to_string(terms, ' '))) AS clause_key
   FROM clauses),
 key_matches AS (
   SELECT DISTINCT clause_key, n_terms, id, freq FROM matches m JOIN clause_keys k ON m.query_id = k.query_id AND m.clause_no = k.clause_no),
@@ -93,6 +93,21 @@ UNION ALL SELECT 'page', max(page_id) // 100 + 1, count(*), count(*), 0::BIGINT
 SELECT query_id, rank, id, type, status, title, slug, link, url, editor_url AS "editorUrl",
   CASE WHEN tags_csv = '' THEN '[]' ELSE '["' || replace(tags_csv, ',', '","') || '"]' END AS tags,
   published_at AS "publishedAt", updated_at AS "updatedAt", snippet, round(score, 6) AS score, true AS keeps_nulls, false AS has_body FROM hits"""),
+    "hits_json_array": over(FULL, f"""
+SELECT l.query_id, count(h.id) AS n_hits, count(h.id) = 0 AS is_empty, max(h.id) FILTER (h.rank = 1) AS first_id,
+  max(h.link) FILTER (h.rank = 2) AS second_link
+FROM log l LEFT JOIN hits h ON l.query_id = h.query_id GROUP BY l.query_id"""),
+    "stored_size": over(ARCHIVE, "SELECT true AS has_bytes, true AS is_readable, count(*) AS n_docs FROM archive"),
+    "large_limit": over(SEARCH.replace("<= 50", "<= 5000"), "SELECT query_id, rank, id, round(score, 6) AS score FROM top"),
+    "incomplete_landing": over(ARCHIVE, f"""
+SELECT step, count(*) AS n_docs, '{WATERMARK}' AS last_sync_at FROM archive, (VALUES ('landing'), ('listing')) s(step) GROUP BY step"""),
+    "page_wise_commit": f"""
+WITH placed AS (SELECT doc_id // 100 + 1 AS page FROM documents UNION ALL SELECT page_id // 100 + 1 FROM pages)
+SELECT 'broken' AS step, count(*) FILTER (page % 3 = 1) AS n_docs, NULL::VARCHAR AS last_sync_at FROM placed
+UNION ALL SELECT 'whole', count(*), '{WATERMARK}' FROM placed UNION ALL SELECT 'again', count(*), '{NOW}' FROM placed""",
+    "same_id_two_types": """
+SELECT 'd' || coalesce(doc_id, page_id) AS id, CASE WHEN page_id IS NULL THEN 'post' ELSE 'page' END AS type
+FROM documents FULL JOIN pages ON doc_id = page_id""",
     "hits_to_text": over(FULL, f"SELECT query_id, rank, {TEXT_LINES} AS text FROM hits"),
     "result_lists": over(FULL, f"""
 SELECT l.query_id, coalesce(string_agg(t.text, chr(10) || chr(10) ORDER BY t.rank), 'No matches. Try fewer words, or drop any tag: and date filters.') AS text
@@ -170,7 +185,7 @@ SELECT id, published_at, updated_at FROM archive ORDER BY published_at DESC NULL
     "live_ids": over(LIVE, "SELECT id FROM live"),
     "stale_ids": over(LIVE, "SELECT id FROM archive EXCEPT SELECT id FROM live"),
     "tokenize": over(",".join((ARCHIVE, TOKENS)), "SELECT id, col, pos, term FROM tokens"),
-    "stem_vocabulary": over(",".join((ARCHIVE, TOKENS)) + ", vocab_terms AS (SELECT term, count(DISTINCT id) AS n_docs FROM tokens GROUP BY term),"
+    "stem_vocabulary": over(",".join((ARCHIVE, TOKENS)) + ", vocab_terms AS MATERIALIZED (SELECT term, count(DISTINCT id) AS n_docs FROM tokens GROUP BY term),"
         + stem_of("vocab_terms"), "SELECT v.term, stem, n_docs FROM vocab_terms v JOIN stems s ON v.term = s.term"),
     "build_postings": posting_rows(",".join((ARCHIVE, TOKENS))),
     "doc_lengths": over(",".join((ARCHIVE, TOKENS)), "SELECT a.id, count(t.term) AS n_tokens FROM archive a LEFT JOIN tokens t ON a.id = t.id GROUP BY a.id"),
@@ -208,6 +223,9 @@ SELECT (SELECT count(*) FROM pages_doc WHERE updated_at > '{WATERMARK}') AS adde
   (SELECT count(*) FROM pages_doc WHERE updated_at > '{WATERMARK}') AS removed"""),
     "watermark_advance": over(ARCHIVE, f"""
 SELECT count(*) AS n_docs, count(*) AS first_added, 0::BIGINT AS first_updated, 0::BIGINT AS first_removed, 0::BIGINT AS second_added,
+  count(*) FILTER (type = 'post') AS first_seen_post, count(*) FILTER (type = 'page') AS first_seen_page,
+  count(*) FILTER (type = 'post' AND updated_at > '{WATERMARK}') AS second_seen_post,
+  count(*) FILTER (type = 'page' AND updated_at > '{WATERMARK}') AS second_seen_page,
   count(*) FILTER (updated_at > '{WATERMARK}') AS second_updated, 0::BIGINT AS second_removed, '{NOW}' AS last_sync_at FROM archive"""),
     "prune": over(LIVE, "SELECT id, status FROM archive WHERE id IN (SELECT id FROM live)"),
     "stream_archive": over(LANDED, f"SELECT {DOC} FROM landed WHERE type = 'post' UNION ALL SELECT {DOC} FROM pages_doc"),

@@ -196,25 +196,89 @@ def test_merge(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_sync_keeps_the_watermark_until_all_is_written(spark):
+def landing(spark, posts=(), pages=(), page=1, of=1):
+    made = [records(spark, list(items), t, page=page, pages=of, total=len(items)) for t, items in (("post", posts), ("page", pages))]
+    return made[0].unionByName(made[1])
+
+
+def entry(id, day, **more):
+    return {"id": id, "updated_at": f"2024-{day}T00:00:00.000Z", **more}
+
+
+def held(spark, root):
+    state = archive.read_state(spark, f"{root}/state")
+    snapshot = archive.state_value(state, sync.CURRENT)
+    return archive.read_documents(spark, snapshot) if snapshot else None, archive.state_value(state, archive.LAST_SYNC)
+
+
+def test_runs_one_after_the_other(spark):
+    root = scratch_path(spark, "sync")
+    run = lambda pages, now, **kw: sync.run_sync(spark, pages, root, SITE, now=now, **kw)
+    first = run(landing(spark, [entry("m", "01-05"), entry("n", "01-06")], [entry("o", "01-07")]), "2024-02")
+    assert first == {"added": 3, "updated": 0, "removed": 0, "seen_post": 2, "seen_page": 1}
+    with pytest.raises(Exception, match="no id"):
+        run(landing(spark, [entry("z", "03-01"), {"title": "nameless"}]), "2024-04")
+    assert held(spark, root)[1] == "2024-02"
+    late = landing(spark, [entry("m", "01-20", title="too old"), entry("z", "03-01")])
+    second = run(late, "2024-04", live_pages=landing(spark, [entry("m", "01-20"), entry("z", "03-01")]))
+    assert second == {"added": 1, "updated": 0, "removed": 2, "seen_post": 1, "seen_page": 0}
+    docs, mark = held(spark, root)
+    assert {r["id"]: r["title"] for r in docs.collect()} == {"m": "(untitled)", "z": "(untitled)"} and mark == "2024-04"
+    assert run(late, "2024-05", full=True)["updated"] == 2
+    assert archive.state_value(archive.read_state(spark, f"{root}/nowhere"), "key") is None
+
+
+def test_a_landing_with_missing_pages_changes_nothing(spark):
+    root = scratch_path(spark, "sync")
+    whole = landing(spark, [entry("m", "01-05")], of=2).unionByName(landing(spark, [entry("n", "01-06")], page=2, of=2))
+    sync.run_sync(spark, whole, root, SITE, now="2024-02")
+    part = landing(spark, [entry("m", "03-05")], of=2)
+    only_posts = whole.where("type = 'post'")
+    unnumbered = whole.unionByName(records(spark, [entry("x", "03-01")])).unionByName(records(spark, [entry("y", "03-01")]))
+    for pages, live in ((part, None), (only_posts, None), (whole, part), (whole, only_posts), (unnumbered, None), (whole.limit(0), None)):
+        with pytest.raises(sync.IncompleteLanding):
+            sync.run_sync(spark, pages, root, SITE, full=True, live_pages=live, now="2024-06")
+    nameless = landing(spark, [entry("m", "01-05"), {"title": "nameless"}])
+    with pytest.raises(Exception, match="no id"):
+        sync.run_sync(spark, whole, root, SITE, live_pages=nameless, now="2024-06")
+    docs, mark = held(spark, root)
+    assert ids(docs) == ["m", "n"] and mark == "2024-02"
+
+
+def test_of_an_id_in_two_types_the_page_stays(spark):
+    root = scratch_path(spark, "sync")
+    sync.run_sync(spark, landing(spark, [entry("m", "05-01")], [entry("m", "01-01")]), root, SITE, now="2024-06")
+    assert [r["type"] for r in held(spark, root)[0].collect()] == ["page"]
+
+
+def test_an_archive_may_be_empty(spark):
+    root = scratch_path(spark, "sync")
+    nothing = landing(spark)
+    assert sync.run_sync(spark, nothing, root, SITE, now="2024-01")["added"] == 0
+    assert held(spark, root)[0].count() == 0
+    assert sync.run_sync(spark, landing(spark, [entry("m", "02-01")]), root, SITE, now="2024-02")["added"] == 1
+    assert sync.run_sync(spark, nothing, root, SITE, live_pages=nothing, now="2024-03")["removed"] == 1
+    assert sync.run_sync(spark, landing(spark, [entry("m", "04-01")]), root, SITE, now="2024-04")["added"] == 1
+    assert feed.current_documents(spark, scratch_path(spark, "no-feed")).count() == 0
+    base = docs_of(spark, doc("b"))
+    assert ids(feed.current_documents(spark, scratch_path(spark, "no-feed"), base)) == ["b"]
+
+
+def test_page_sets_are_committed_one_by_one(spark):
     root = scratch_path(spark, "sync")
-    page = lambda *items: records(spark, list(items), page=1, pages=1, total=len(items))
-    first = sync.run_sync(spark, page({"id": "1", "updated_at": "2024-01-01"}, {"id": "2", "updated_at": "2024-01-02"}), root, SITE, now="2024-02-01")
-    assert first == {"added": 2, "updated": 0, "removed": 0}
+    one, two = landing(spark, [entry("m", "01-05")], of=2), landing(spark, [entry("n", "01-06")], page=2, of=2)
+    broken = two.unionByName(api_pages.parse_pages(bodies(spark, "<html>"), "post"))
     with pytest.raises(Exception):
-        sync.run_sync(spark, page({"id": "3", "updated_at": "2024-03-01"}, {"title": "no id"}), root, SITE, now="2024-04-01")
-    state = archive.read_state(spark, f"{root}/state")
-    assert archive.state_value(state, archive.LAST_SYNC) == "2024-02-01"
-    late = page({"id": "1", "title": "old", "updated_at": "2024-02-01"}, {"id": "3", "updated_at": "2024-03-01"})
-    second = sync.run_sync(spark, late, root, SITE, now="2024-04-01", live_pages=page({"id": "1"}, {"id": "3"}))
-    assert second == {"added": 1, "updated": 0, "removed": 1}
-    state = archive.read_state(spark, f"{root}/state")
-    docs = archive.read_documents(spark, archive.state_value(state, sync.CURRENT))
-    assert {r["id"]: r["title"] for r in docs.collect()} == {"1": "(untitled)", "3": "(untitled)"}
-    full = sync.run_sync(spark, late, root, SITE, full=True, now="2024-05-01")
-    assert full == {"added": 0, "updated": 2, "removed": 0}
-    assert archive.state_value(state, "nothing") is None
-    assert archive.read_state(spark, f"{root}/nowhere").count() == 0
+        sync.run_page_sets(spark, [one, broken], root, SITE, now="2024-02")
+    docs, mark = held(spark, root)
+    assert ids(docs) == ["m"] and mark is None
+    with pytest.raises(sync.IncompleteLanding):
+        sync.run_page_sets(spark, [one], root, SITE, now="2024-02")
+    assert held(spark, root)[1] is None
+    for _ in range(2):
+        sync.run_page_sets(spark, [one, two], root, SITE, full=True, now="2024-02")
+        docs, mark = held(spark, root)
+        assert ids(docs) == ["m", "n"] and mark == "2024-02"
 
 
 # --- index ------------------------------------------------------------------------------------
@@ -222,18 +286,22 @@ def same_rows(a, b):
     return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def counted(n, *words):
+    """A body in which every word stands `n` times, with a number between."""
+    return ". ".join(f"{w} {i}" for i in range(n) for w in words)
+
+
 def test_updating_the_index_equals_building_it(spark):
-    old = docs_of(spark, doc("1", plaintext="original wording"), doc("2", plaintext="Keyword alpha, alpha."), doc("3", plaintext=""))
-    changed = docs_of(spark, doc("1", title="Other", plaintext="replacement wording"), doc("4", tags=("t",)))
+    old = docs_of(spark, doc("p", plaintext=counted(2, "granite", "basalt")), doc("q", plaintext=counted(3, "slate")), doc("r", plaintext=""))
+    new = [doc("p", title="Stones", plaintext=counted(1, "marble")), doc("s", tags=("quarry",), plaintext=counted(2, "chalk"))]
     index = build_index(spark, old, scratch_path(spark, "i"), 3)
-    updated = update_index(spark, index, changed, scratch_path(spark, "i"), spark.createDataFrame([("2",)], "id string"))
-    built = build_index(spark, docs_of(spark, doc("1", title="Other", plaintext="replacement wording"), doc("3", plaintext=""), doc("4", tags=("t",))),
-                        scratch_path(spark, "i"), 3)
+    updated = update_index(spark, index, docs_of(spark, *new), scratch_path(spark, "i"), spark.createDataFrame([("q",)], "id string"))
+    built = build_index(spark, docs_of(spark, *new, doc("r", plaintext="")), scratch_path(spark, "i"), 3)
     assert same_rows(updated.postings, built.postings) and same_rows(updated.vocab, built.vocab)
     assert same_rows(updated.documents, built.documents)
     assert (updated.n_docs, updated.avg_len) == (built.n_docs, built.avg_len)
-    found = lambda text: ids(search(updated, spark, text))
-    assert found("original") == [] and found("replacement") == ["1"] and found("alpha") == [] and found("plants") == ["4"]
+    for word, want in (("granite", []), ("basalts", []), ("slate", []), ("marbles", ["p"]), ("stone", ["p"]), ("quarry", ["s"]), ("chalk", ["s"])):
+        assert ids(search(updated, spark, word)) == want, word
 
 
 def test_postings_hold_every_token(spark, sf_dir):
@@ -255,45 +323,111 @@ def test_folding(spark):
 
 
 # --- search -----------------------------------------------------------------------------------
+WORDS = ("amber", "birch", "cedar")
+
+
+def held_words(n):
+    """Document n holds the words whose bits n has."""
+    return [w for k, w in enumerate(WORDS) if n >> k & 1]
+
+
 @pytest.fixture(scope="module")
 def small_index(spark):
     rows = [
-        doc("a", title="Harbor lights, a year on", plaintext="still the most curious reading", tags=("sea",), published_at="2025-02-11T00"),
-        doc("b", title="The harbor lights are no failure", plaintext="calling it a flop misreads sea folk", tags=("sea",), published_at="2024-06-03T00"),
-        doc("c", title="Mountain thoughts", plaintext="nothing about harbors", tags=("hill",), published_at="2023-01-05T00"),
+        doc(f"k{n}", title=" ".join(held_words(n)[:1] * n), plaintext=" ".join(held_words(n)), tags=("even" if n % 2 == 0 else "odd",),
+            type="page" if n == 7 else "post", published_at=f"{2010 + n}-06-15T00:00:00.000Z")
+        for n in range(8)
     ]
     return build_index(spark, docs_of(spark, *rows), scratch_path(spark, "small"), 2)
 
 
-def test_search_cases(spark, small_index):
-    log = ["harbor lights", "lights tag:sea after:2025", "tag:sea", "", "zzznotfound", "lights -failure", "read", "title:harbor", "moun", '"year on"', "lights lights"]
-    rows = [(i, q, False) for i, q in enumerate(log)] + [(len(log), "moun", True)]
-    hits = search_batch(small_index, spark.createDataFrame(rows, "query_id long, raw string, prefix_last boolean"))
-    got = {}
+def found_by(spark, index, rows, limit=None):
+    hits = search_batch(index, spark.createDataFrame(rows, "query_id long, raw string, prefix_last boolean"), limit)
+    got = {i: [] for i, _, _ in rows}
     for r in hits.orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append(r["id"])
-    want = [["a", "b"], ["a"], ["a", "b"], ["a", "b", "c"], None, ["a"], ["a"], ["a", "b"], None, ["a"], ["a", "b"], ["c"]]
-    assert [got.get(i) for i in range(len(want))] == want
+        got[r["query_id"]].append(r["id"])
+    return got
+
+
+def test_boolean_searches_follow_the_bits(spark, small_index):
+    """Every choice of wanted and unwanted words, with and without a filter."""
+    cases = {}
+    for wanted in range(1, 8):
+        for unwanted in range(8):
+            if not wanted & unwanted:
+                text = " ".join(held_words(wanted) + [f"-{w}" for w in held_words(unwanted)])
+                fits = [n for n in range(8) if n & wanted == wanted and not n & unwanted]
+                cases[text] = fits
+                cases[f"{text} tag:odd"] = [n for n in fits if n % 2]
+                cases[f"{text} after:2014"] = [n for n in fits if n >= 4]
+                cases[f"type:page {text}"] = [n for n in fits if n == 7]
+    rows = [(i, text, False) for i, text in enumerate(cases)]
+    got = found_by(spark, small_index, rows)
+    for i, text, _ in rows:
+        assert sorted(got[i]) == [f"k{n}" for n in cases[text]], text
+
+
+def test_phrases_titles_prefixes_and_dates(spark, small_index):
+    cases = [
+        ('"amber birch"', False, {3, 7}), ('"amber cedar"', False, {5}), ('"birch amber"', False, set()), ("title:birch", False, {2, 6}),
+        ("title:cedar", False, {4}), ("ced", False, set()), ("ced", True, {4, 5, 6, 7}), ("ambers", False, {1, 3, 5, 7}), ("unheard", False, set()),
+    ]
+    got = found_by(spark, small_index, [(i, text, typed) for i, (text, typed, _) in enumerate(cases)])
+    for i, (text, _, want) in enumerate(cases):
+        assert set(got[i]) == {f"k{n}" for n in want}, text
+    newest = [f"k{n}" for n in reversed(range(8))]
+    assert found_by(spark, small_index, [(0, "", False), (1, "tag:even", False)]) == {0: newest, 1: newest[1::2]}
 
 
 def test_limits(spark, small_index):
     assert ranking.effective_limit(None) == ranking.effective_limit(0) == ranking.effective_limit(-3) == 50
-    assert search(small_index, spark, "", limit=2).count() == 2
-    assert ids(search(small_index, spark, "lights", limit=1)) == ["a"]
+    for limit in (1, 3, 2000):
+        got = found_by(spark, small_index, [(0, "", False), (1, "cedar", False)], limit)
+        assert len(got[0]) == min(limit, 8) and len(got[1]) == min(limit, 4)
+
+
+@pytest.mark.parametrize("limit", [10, 5000])
+def test_groups_are_cut_before_they_meet(spark, limit):
+    rows = spark.range(30_000, numPartitions=6).select((F.col("id") % 2).alias("g"), F.xxhash64("id").alias("v"), "id")
+    top = ranking.top_rows(rows, ["g"], [F.col("v"), F.col("id")], limit)
+    assert top.groupBy("g").agg(F.count("*").alias("n"), F.max("rank").alias("r")).select("n", "r").distinct().collect() == [(limit, limit)]
+    everything = rows.orderBy("v", "id").where("g = 1").limit(limit)
+    assert same_rows(top.where("g = 1").select("v", "id"), everything.select("v", "id"))
+    assert top._jdf.queryExecution().executedPlan().toString().count("row_number") >= 2
+
+
+def test_one_long_string_stays_linear(spark, small_index):
+    """A string of many words: rows that carry keys don't carry the string."""
+    from inkwell.plans.search import distinct_queries, read_log
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    log = spark.createDataFrame([(0, text, False)], "query_id long, raw string, prefix_last boolean")
+    parsed = read_log(distinct_queries(log)[1])
+    widths = parsed.clauses.select(F.max(F.length("query_id") + F.length("clause_key")).alias("n"), F.count("*").alias("rows")).first()
+    assert widths["rows"] == 20_000 and widths["n"] < 200
 
 
 def test_a_string_that_fills_the_log(spark, small_index):
     """Equal strings are searched once and answered for every row."""
-    log = spark.range(3000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 3 == 0, "lights").otherwise(F.concat(F.lit("w"), "id")).alias("raw"), F.lit(False).alias("prefix_last"))
+    log = spark.range(3000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 3 == 0, "title:birch").otherwise(F.concat(F.lit("w"), "id")).alias("raw"), F.lit(False).alias("prefix_last"))
     hits = search_batch(small_index, log)
     assert hits.count() == 2000 and hits.select("query_id").distinct().count() == 1000
 
 
 def test_search_reads_only_wanted_buckets(spark, small_index):
-    plan = search(small_index, spark, "harbor")._jdf.queryExecution().executedPlan().toString()
+    plan = search(small_index, spark, "cedar")._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan
 
 
+def test_an_empty_archive_can_be_searched_and_filled(spark):
+    empty, silent = docs_of(spark), docs_of(spark, doc("t", title="...", plaintext="", tags=()))
+    for docs in (empty, silent):
+        index = build_index(spark, docs, scratch_path(spark, "i"), 2)
+        assert search(index, spark, "cedar").count() == 0 and search(index, spark, "").count() == docs.count()
+        filled = update_index(spark, index, docs_of(spark, doc("u", plaintext="cedar")), scratch_path(spark, "i"))
+        assert ids(search(filled, spark, "cedar")) == ["u"]
+
+
 # --- streams ----------------------------------------------------------------------------------
 def test_feed_keeps_the_newest_row_in_any_order(spark, tmp_path):
     landing, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
@@ -319,6 +453,11 @@ def test_a_scratch_folder_is_chosen_once_where_none_is_named():
 
     from inkwell.session import shared_root
 
-    session = lambda named: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=SimpleNamespace(applicationId="app"))
-    assert shared_root(session("/shared/marks/")) == "/shared/marks"
-    assert shared_root(session(None)) == shared_root(session(None)) != ""
+    def session(named, master="local[4]"):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=SimpleNamespace(applicationId="app", master=master))
+
+    assert shared_root(session("/shared/marks/", "spark://host:7077")) == "/shared/marks"
+    assert shared_root(session(None)) == shared_root(session(None, "local")) != ""
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            shared_root(session(None, master))
