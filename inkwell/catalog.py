@@ -661,11 +661,45 @@ def stream_archive(spark, sf_dir):
     return _flat(feed.current_documents(spark, out, testtables.pages(spark, sf_dir)))
 
 
+def fed_for(spark: SparkSession, sf_dir: str) -> str:
+    """All landed posts and pages taken in as a stream; returns the folder."""
+    def make():
+        out = scratch_path(spark, "feed")
+        for doc_type in ("post", "page"):
+            marks = scratch_path(spark, "feed-marks")
+            feed.stream_archive(spark, f"{landed_for(spark, sf_dir)}/{doc_type}s/*", out, marks, doc_type, SITE).awaitTermination()
+        return out
+
+    return _once("fed", spark, sf_dir, make)
+
+
 @query
 def stream_postings(spark, sf_dir):
-    out, marks = scratch_path(spark, "feed"), scratch_path(spark, "feed-marks")
-    feed.stream_archive(spark, f"{landed_for(spark, sf_dir)}/posts/*", out, marks, "post", SITE).awaitTermination()
-    return _posting_rows(feed.current_postings(spark, out))
+    return _posting_rows(feed.current_postings(spark, fed_for(spark, sf_dir)))
+
+
+def _held_index(spark: SparkSession, sf_dir: str) -> ArchiveIndex:
+    """An index of four fifths of the posts, before the landed posts and pages change it."""
+    def make():
+        held = testtables.posts(spark, sf_dir).where(F.substring("id", -1, 1) < "8")
+        return build_index(spark, held, scratch_path(spark, "index"), INDEX_BUCKETS)
+
+    return _once("held-index", spark, sf_dir, make)
+
+
+@query
+def search_after_feed(spark, sf_dir):
+    """The search log over a stored index with landed changes that it doesn't hold yet."""
+    index = feed.live_index(spark, _held_index(spark, sf_dir), fed_for(spark, sf_dir))
+    hits = searching.search_batch(index, testtables.search_log(spark, sf_dir))
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"), "snippet")
+
+
+@query
+def compaction(spark, sf_dir):
+    """The changes folded into a new stored index."""
+    index = feed.compact(spark, _held_index(spark, sf_dir), fed_for(spark, sf_dir), scratch_path(spark, "index"))
+    return _posting_rows(index.postings)
 
 
 @query

@@ -76,7 +76,8 @@ TEXT_LINES = f"""lpad(CAST(rank AS VARCHAR), greatest(2, length(CAST(rank AS VAR
 
 # A cleaned copy of the archive under the name the token CTEs read.
 MERGED_TOKENS = BATCH.replace("\narchive AS", "\nwhole_archive AS") + f",\narchive AS (SELECT {DOC} FROM merged)," + TOKENS
-LANDED_TOKENS = LANDED.replace("\narchive AS", "\nwhole_archive AS") + f",\narchive AS (SELECT {DOC} FROM landed WHERE type = 'post')," + TOKENS
+LANDED_TOKENS = LANDED.replace("\narchive AS", "\nwhole_archive AS") + f",\narchive AS (SELECT {DOC} FROM landed)," + TOKENS
+LANDED_HITS = LANDED.replace("\narchive AS", "\nwhole_archive AS") + f",\narchive AS (SELECT {DOC} FROM landed)" + FULL[len(ARCHIVE):]
 TYPED = FULL.replace("form >= 8 AS prefix_last", "true AS prefix_last")
 
 STATEMENTS: dict[str, str] = {
@@ -230,6 +231,8 @@ SELECT count(*) AS n_docs, count(*) AS first_added, 0::BIGINT AS first_updated,
     "prune": over(LIVE, "SELECT id, status FROM archive WHERE id IN (SELECT id FROM live)"),
     "stream_archive": over(LANDED, f"SELECT {DOC} FROM landed WHERE type = 'post' UNION ALL SELECT {DOC} FROM pages_doc"),
     "stream_postings": posting_rows(LANDED_TOKENS),
+    "search_after_feed": over(LANDED_HITS, "SELECT query_id, rank, id, round(score, 6) AS score, snippet FROM hits"),
+    "compaction": posting_rows(LANDED_TOKENS),
     "out_of_order_guard": over(LANDED, """
 SELECT l.id, CASE WHEN r.quality IS NULL THEN l.title ELSE 'held' END AS title, CASE WHEN r.quality IS NULL THEN l.updated_at ELSE '9' || l.updated_at END AS updated_at
 FROM landed l JOIN posts_raw r ON l.id = r.id"""),
