@@ -26,7 +26,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 #: Ids of a file, about; a document is never cut.
 FILE_IDS = 1 << 23
-#: Pieces of text whose ids a worker keeps at a time, and the longest one kept.
+#: Pieces of text whose ids a worker keeps, and as many older ones; the longest one kept.
 KEPT, KEPT_CHARS = 400_000, 64
 
 MAGIC = b"DAC1"
@@ -49,6 +49,7 @@ class PieceEncoder:
         (space,) = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(" ")]
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith(space) for i in range(self.library.get_vocab_size())])
         self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
         self.whole: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -78,8 +79,11 @@ class PieceEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [text.split(" ") for text in texts]
         if len(self.known) > KEPT:
-            self.known.clear()
-        new = list(set().union(*(words[1:] for words in cut)).difference(self.known))
+            self.older, self.known = self.known, {}
+        new = set().union(*(words[1:] for words in cut)).difference(self.known)
+        again = new.intersection(self.older)
+        self.known |= zip(again, map(self.older.__getitem__, again))
+        new = list(new - again)
         special = any(s in w for s in self.special for w in new)
         self._learn([w for w in new if not any(s in w for s in self.special)] if special else new)
         found = []
