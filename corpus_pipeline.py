@@ -12,6 +12,8 @@ from inkwell.llm.common import kept_by_text, settle, table
 def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """Documents of which a row was kept. Rows that repeat a doc_id, null included, are decided together."""
     lost = decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("lost"))
+    # Written first: both sides are then dealt out by the join, which Spark can split.
+    lost = settle(lost, "lost")
     return docs.join(lost, docs["doc_id"].eqNullSafe(lost["lost"]), "left_anti")
 
 

@@ -93,6 +93,8 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.bitwise_not(F.col("best.turned")).alias("keep_id"),
         F.when(sound.isNull(), F.col("n")).alias("group_size"),
     )
+    # Written first, so that both sides of the join are dealt out by it and a hot group can be split.
+    groups = settle(groups, "groups")
     return keys.join(groups, ["hash", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256", "bucket", "chain",
