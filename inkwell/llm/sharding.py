@@ -56,7 +56,7 @@ def shards(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFra
     ties = ["drawn", "doc_id", "text_crc32", "size", "source"]
     # Each source has cells of its own number, so that those of a large one are no larger.
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / CELL_ROWS))).cast("int").alias("bits")
-    rows = rows.join(rows.groupBy("source").agg(bits), "source")
+    rows = rows.join(settle(rows.groupBy("source").agg(bits), "sources"), "source")
     # The sign bit is turned so that cells follow the signed order of the hash.
     ordered = F.col("drawn").bitwiseXOR(F.lit(-(1 << 63)))
     top = F.when(F.col("bits") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", ordered, 64 - F.col("bits")))
