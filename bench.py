@@ -12,12 +12,16 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from inkwell import catalog  # noqa: E402
 from inkwell.operators import indexing, merging, ranking, reports  # noqa: E402
 from inkwell.plans import search as searching  # noqa: E402
-from inkwell.plans.index import build_index  # noqa: E402
+from inkwell.plans import sync  # noqa: E402
+from inkwell.plans.index import build_index, update_index  # noqa: E402
 from inkwell.session import local_session, scratch_path  # noqa: E402
-from inkwell.sources import testtables  # noqa: E402
+from inkwell.sources import api_pages, testtables  # noqa: E402
+from inkwell.streaming import feed  # noqa: E402
 
 
 def main() -> None:
@@ -53,6 +57,22 @@ def main() -> None:
     run("newest_first", lambda: ranking.newest_first(index.documents, ranking.DEFAULT_LIMIT))
     run("archive_health", lambda: reports.archive_health(index.documents))
     run("document_ids", lambda: merging.live_ids(index.documents))
+    tenth = testtables.posts(spark, sf_dir).where(F.substring("id", -1, 1) == "7").withColumn("title", F.concat("title", F.lit(" (edited)")))
+    run("update_index_tenth", lambda: update_index(spark, index, tenth, scratch_path(spark, "bench-index")))
+    landed = scratch_path(spark, "bench-landed")
+    some = testtables.raw_json_posts(spark, sf_dir).where(F.col("n") % 10 == 7)
+    testtables.landed_pages(some, "posts", landed)
+    fed, marks = scratch_path(spark, "bench-feed"), scratch_path(spark, "bench-marks")
+    run("feed_tenth", lambda: feed.stream_archive(spark, f"{landed}/posts/*", fed, marks, "post", testtables.SITE).awaitTermination())
+    live = run("open_after_feed", lambda: feed.live_index(spark, index, fed))
+    run("search_after_feed", lambda: searching.search(live, spark, "reading words tag:en"))
+    whole = scratch_path(spark, "bench-landed")
+    testtables.landed_pages(testtables.raw_json_posts(spark, sf_dir), "posts", whole)
+    testtables.landed_pages(testtables.raw_json_pages(spark, sf_dir), "pages", whole)
+    pages = api_pages.read_all_types(spark, whole)
+    root = scratch_path(spark, "bench-synced")
+    run("sync_full", lambda: sync.run_sync(spark, pages, root, testtables.SITE, now=catalog.WATERMARK))
+    run("sync_changes", lambda: sync.run_sync(spark, pages, root, testtables.SITE, now=catalog.NOW))
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "inkwell_total", "value": total, "unit": "sec", "queries": times, "sf": float(sf)}))
