@@ -34,6 +34,8 @@ MAGIC = b"DAC1"
 RANK_BITS = 512
 
 # --- encoding ------------------------------------------------------------------------------
+#: Marks a word whose ids depend on the white space around it; no id list looks like it.
+ODD = b"odd"
 #: Borders that pre-tokens never cross: before a single space between two other characters.
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
 
@@ -48,23 +50,25 @@ class PieceEncoder:
             self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         (space,) = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(" ")]
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith(space) for i in range(self.library.get_vocab_size())])
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.whole: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Note the ids of words with the space before them; None if one lies next to other white space."""
+        """Note the ids of words with the space before them; ODD if one lies next to other white space."""
         plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        self.known |= dict.fromkeys(words)
+        if len(plain) < len(words):
+            self.known |= dict.fromkeys(words, ODD)
         if plain:
             # In one text, since single calls cost more; each word's ids begin with one that has its space.
             (ids,) = self._encode([" " + " ".join(plain)])
-            starts = np.flatnonzero(self.spaced[ids])
-            assert len(starts) == len(plain)
-            self.known |= zip(plain, (x.tobytes() for x in np.split(ids, starts[1:])))
+            places = (4 * np.flatnonzero(self.spaced[ids])).tolist()
+            assert len(places) == len(plain)
+            data = ids.tobytes()
+            self.known |= zip(plain, map(data.__getitem__, map(slice, places, [*places[1:], None])))
 
     def _by_border(self, text: str) -> bytes:
         pieces = _BORDER.split(text)
@@ -77,22 +81,25 @@ class PieceEncoder:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [text.split(" ") for text in texts]
         if len(self.known) > KEPT:
             self.older, self.known = self.known, {}
-        new = set().union(*(words[1:] for words in cut)).difference(self.known)
+        cut, found, new = [], [], set()
+        for text in texts:
+            special = any(s in text for s in self.special)
+            first, *words = [text] if special else text.split(" ")
+            ids = list(map(self.known.get, words))
+            missing = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            new.update([words[i] for i in missing])
+            cut.append((special, first, words, ids, missing))
         again = new.intersection(self.older)
         self.known |= zip(again, map(self.older.__getitem__, again))
-        new = list(new - again)
-        special = any(s in w for s in self.special for w in new)
-        self._learn([w for w in new if not any(s in w for s in self.special)] if special else new)
-        found = []
-        for text, (first, *words) in zip(texts, cut):
-            if any(s in text for s in self.special):
+        self._learn(list(new - again))
+        for text, (special, first, words, ids, missing) in zip(texts, cut):
+            for i in missing:
+                ids[i] = self.known[words[i]]
+            if special:
                 found.append(self._encode([text])[0].tobytes())
-                continue
-            ids = list(map(self.known.__getitem__, words))
-            if None in ids or first[-1:].isspace():
+            elif ODD in ids or first[-1:].isspace() and words:
                 found.append(self._by_border(text))
             else:
                 found.append(self._by_border(first) + b"".join(ids))
