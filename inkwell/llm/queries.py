@@ -17,5 +17,6 @@ QUERIES = {
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
 }
 STATEMENTS: dict[str, str] = {
+    "op5_secret_scan": secrets.OP5_SQL,
     "op6_exact_dedup": exactdedup.OP6_SQL,
 }

@@ -191,3 +191,26 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
         F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"),
     )
+
+
+def _rule_sql(number: int, rule: Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+SELECT doc_id, {number} AS number, '{rule.kind}' AS kind, {rule.least} AS least, regexp_extract_all(t, '{pattern}') AS hits,
+  regexp_extract_all(t, '{pattern}', {rule.group}) AS held, string_split_regex(t, '{pattern}') AS gaps
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"""
+
+
+OP5_SQL = f"""
+WITH found AS ({" UNION ALL ".join(_rule_sql(n, r) for n, r in enumerate(RULES))}
+), placed AS (
+  SELECT *, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM found)
+), spans AS (
+  SELECT doc_id, number, kind, start, kind || ':' || start::BIGINT || ':' || (start + length(hits[i]))::BIGINT AS span
+  FROM placed WHERE length(held[i]) >= least)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, number) FILTER (number < {len(BASE)}), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY start, number), '') AS spans
+FROM documents d LEFT JOIN spans s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
