@@ -51,15 +51,15 @@ def shingles_of(words: list[bytes]) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))] if words else []
 
 
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each shingle."""
+def hashes_of(words: list[bytes], run: int = SHINGLE) -> np.ndarray:
+    """A 64-bit hash of each run of `run` words, SHINGLE at most; of all words if they are fewer."""
     for word in set(words).difference(_known):
         _code(word)
     codes = np.fromiter((_known.get(w) or _code(w) for w in words), np.uint64, len(words))
-    n = max(min(1, len(words)), len(words) - SHINGLE + 1)
+    n = max(min(1, len(words)), len(words) - run + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(n, np.uint64)
-        for j in range(min(SHINGLE, len(words))):
+        for j in range(min(run, len(words))):
             total ^= (codes[j : j + n] * _ODD[j]) >> np.uint64(7) ^ codes[j : j + n] * _ODD[j - 1]
             total *= _ODD[0]
         total ^= total >> np.uint64(29)
@@ -88,17 +88,22 @@ class Hit(NamedTuple):
 
 
 class Index:
-    """Items by length: their fingerprints under each block's values, and by shingle."""
+    """Items by length: their fingerprints under each block's values, and by shingle. Items of fewer words than a
+    shingle by these words."""
 
     def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, least: float = SIMILARITY):
         self.radius, self.least = radius, least
         self.ids, self.lengths, self.bags, prints = [], [], [], []
         self.by_shingle: dict[int, list[int]] = {}
+        short: dict[int, dict[int, list[tuple[list[bytes], int]]]] = {}
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
             hashes = hashes_of(words)
+            if len(words) < SHINGLE:
+                short.setdefault(len(words), {}).setdefault(int(hashes[0]), []).append((words, item_id))
+                continue
             for h in set(hashes.tolist()):
                 self.by_shingle.setdefault(h, []).append(len(self.ids))
             self.ids.append(item_id)
@@ -106,6 +111,7 @@ class Index:
             self.bags.append(Counter(shingles_of(words)))
             prints.append(int(window_fingerprints(hashes, np.zeros(1, np.int64), len(hashes))[0]))
         self.prints = np.array(prints, np.uint64)
+        self.short = [(length, np.fromiter(by_hash, np.uint64, len(by_hash)), by_hash) for length, by_hash in sorted(short.items())]
         # A bit for each value of the leading bits; few other shingles pass.
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[[h >> (64 - _FILTER_BITS) for h in self.by_shingle]] = True
@@ -136,11 +142,21 @@ class Index:
             found |= self.probed[key]
         return sorted(i for i in found if (int(self.prints[i]) ^ fingerprint).bit_count() <= self.radius)
 
+    def _short_hits(self, words: list[bytes]) -> Iterator[Hit]:
+        """Runs of words that are a whole item of fewer words than a shingle."""
+        for length, hashes, by_hash in self.short:
+            if length <= len(words):
+                runs = hashes_of(words, length)
+                for place in np.flatnonzero(np.isin(runs, hashes)).tolist():
+                    for own, item_id in by_hash[int(runs[place])]:
+                        if words[place : place + length] == own:
+                            yield Hit(item_id, place, length, 1.0)
+
     def search(self, text: str) -> list[Hit]:
         """The best window of each item found in a text: most similar, then first.
 
         A window that shares no shingle with an item can't be similar to it, so windows are only made around places
-        where a shingle of an item stands.
+        where a shingle of an item stands. An item of fewer words than a shingle is one, and stands where its words do.
         """
         words = words_of(text)
         if not words:
@@ -168,6 +184,9 @@ class Index:
                         alike = similarity(bag, self.bags[i])
                         if alike >= self.least and (self.ids[i] not in best or alike > best[self.ids[i]].similarity):
                             best[self.ids[i]] = Hit(self.ids[i], start, size, alike)
+        for hit in self._short_hits(words):
+            if hit.item_id not in best or hit.similarity > best[hit.item_id].similarity:
+                best[hit.item_id] = hit
         return sorted(best.values(), key=lambda h: (h.item_id is not None, h.item_id or 0))
 
 

@@ -116,6 +116,26 @@ def test_leaks(spark, sf_dir, nasty, nothing):
     assert leaks.leaks(nothing, table).collect() == [] and leaks.leaks(nasty, table.limit(0)).collect() == []
 
 
+def test_short_items_inside_documents(spark):
+    """Items of one to four words at the start, in the middle and at the end, against every window of every document."""
+    items = [(1, "amber"), (2, "Blue  cedar"), (3, "one two three"), (4, "w x y z"), (5, "one two three four five"), (6, "\u00e9t\u00e9")]
+    pad = "some other words stand here "
+    docs = [(n, text) for n, text in enumerate(
+        f"{a}{item}{b}" for _, item in items for a in ("", pad, pad * 300) for b in ("", " " + pad, " " + pad * 300)
+    )] + [(900, "blue"), (901, "cedar blue"), (902, "x one two x three four"), (903, "amber " * 9 + "AMBER w x y"), (904, "ambers")]
+    want = set()
+    for doc_id, text in docs:
+        words = leaks.words_of(text)
+        for item_id, item in items:
+            own = leaks.words_of(item)
+            bag, size = Counter(leaks.shingles_of(own)), min(len(own), len(words))
+            alike = [leaks.similarity(Counter(leaks.shingles_of(words[i : i + size])), bag) for i in range(len(words) - size + 1)]
+            if max(alike) >= 0.8:
+                want.add((doc_id, item_id, alike.index(max(alike)), size, max(alike)))
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 54 and sorted((r.doc_id, r.item_id, r.first_word, r.n_words, r.similarity) for r in got) == sorted(want)
+
+
 def test_items_in_several_passes(spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     blocks = list(leaks.item_passes(items.unionByName(items), limit=7))
