@@ -9,12 +9,17 @@ from inkwell.llm import bpe, decontamination, exactdedup, quality, simhash
 from inkwell.llm.common import kept_by_text, settle, table
 
 
-def _without(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Documents of which a row was kept. Rows that repeat a doc_id, null included, are decided together."""
-    lost = decided.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(F.col("doc_id").alias("lost"))
-    # Written first: both sides are then dealt out by the join, which Spark can split.
-    lost = settle(lost, "lost")
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["lost"]), "left_anti")
+def _one_of_each(docs: DataFrame, decide) -> DataFrame:
+    """The rows that `decide`, given documents and the name of a row key, marks as kept.
+
+    The key is written with the documents, so that it is the same at each reading; ids may repeat or be null.
+    """
+    row = "row_key"
+    while row in map(str.lower, docs.columns):
+        row += "_"
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    lost = settle(decide(numbered, row).where(~F.col("kept")).select(F.col("row").alias(row)), "lost")
+    return numbered.join(lost, row, "left_anti").select(*docs.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +29,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _without(docs, exactdedup.exact_duplicates(docs).select("doc_id", "kept"))
+    """One row of each group of equal texts."""
+    return _one_of_each(docs, lambda rows, key: exactdedup.exact_duplicates(rows, row=key))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each class of near duplicates."""
-    classes = simhash.near_duplicates(docs)
-    return _without(docs, classes.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    """One row of each class of near duplicates, the one with the smallest doc_id."""
+    return _one_of_each(docs, lambda rows, key: simhash.near_duplicates(rows, row=key))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,11 +20,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), WHITE + "+", "")
 
 
-def key_rows(docs: DataFrame) -> DataFrame:
-    """`(doc_id, n_chars, hash, text_sha256)` of every row."""
+def key_rows(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """`(doc_id, n_chars, hash, text_sha256)` of every row, and `row` if a row key is named."""
+    own = [F.col(row).alias("row")] if row else []
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.char_length(text).alias("n_chars"), normalised(text).alias("norm"))
-    return rows.select("doc_id", "n_chars", F.xxhash64("norm").alias("hash"), F.sha2("norm", 256).alias("text_sha256"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.char_length(text).alias("n_chars"), normalised(text).alias("norm"), *own)
+    key = [F.xxhash64("norm").alias("hash"), F.sha2("norm", 256).alias("text_sha256")]
+    return rows.select("doc_id", "n_chars", *key, *(["row"] if row else []))
 
 
 def _slot(depth: int) -> Column:
@@ -70,7 +72,7 @@ def build_index(docs: DataFrame, keys: DataFrame, capacity: int = CAPACITY) -> D
     return settle(placed.repartitionByRange(owners, "bucket", "hash").sortWithinPartitions("bucket", "hash"), "hash-index")
 
 
-def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, row: str | None = None) -> DataFrame:
     """`(doc_id, keep_id, group_size, kept, text_sha256, bucket, chain)` of every row of `docs`.
 
     Texts are equal when identical without ASCII white space; null, empty and blank texts form one group. Of a group
@@ -78,13 +80,17 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     has its own `chain` number in the bucket. Rows that repeat a doc_id with the same text share one decision. A null
     doc_id loses against any other; in a group of such rows only, keep_id is null and all stay. Other columns are
     ignored; no rows give no rows.
+
+    With `row`, a column of unique whole numbers, `row` is returned too and exactly one row of each group is kept: of
+    rows alike in characters and doc_id, null included, the one with the least number.
     """
-    keys = settle(key_rows(docs), "keys")
+    keys = settle(key_rows(docs, row), "keys")
     index = build_index(docs, keys, capacity)
     order = Window.partitionBy("bucket", "hash").orderBy("text_sha256")
     chained = index.withColumn("chain", F.row_number().over(order) - 1)
     # The bitwise complement turns the order of the ids round without overflow; nulls come last.
-    best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("turned")))
+    last = [F.bitwise_not("row").alias("turned_row")] if row else []
+    best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("turned"), *last))
     groups = keys.groupBy("hash", "text_sha256").agg(F.count("*").alias("n"), best.alias("best"))
     # Byte comparison and digest must agree on every group.
     sound = F.assert_true(F.col("n") == F.col("copies"), F.lit("different texts have equal SHA-256 digests"))
@@ -92,12 +98,13 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "hash", "text_sha256", "bucket", "chain",
         F.bitwise_not(F.col("best.turned")).alias("keep_id"),
         F.when(sound.isNull(), F.col("n")).alias("group_size"),
+        *([F.bitwise_not(F.col("best.turned_row")).alias("keep_row")] if row else []),
     )
     # Written first, so that both sides of the join are dealt out by it and a hot group can be split.
     groups = settle(groups, "groups")
+    kept = F.col("row") == F.col("keep_row") if row else F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return keys.join(groups, ["hash", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        "text_sha256", "bucket", "chain",
+        "doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "bucket", "chain", *(["row"] if row else []),
     )
 
 

@@ -53,13 +53,18 @@ def fingerprint(words: list[bytes], size: int = SHINGLE, step: int = 1 << 16) ->
 def _fingerprint_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         found = [fingerprint(t.encode().lower().split()) for t in texts_of(batch["text"])]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.int64())], ["doc_id", "fp"])
+        own = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch[n] for n in own), pa.array(found, pa.int64())], [*own, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """`(doc_id, fp)` of every row. Letters A-Z are lowered, words end at ASCII white space; null counts as empty."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return on_workers(rows, _fingerprint_batches, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """`(doc_id, fp)` of every row, and `row` between if a row key is named.
+
+    Letters A-Z are lowered, words end at ASCII white space; null counts as empty.
+    """
+    own = [F.col(row).cast("long").alias("row")] if row else []
+    rows = docs.select(F.col("doc_id").cast("long"), *own, F.col("text").cast("string"))
+    return on_workers(rows, _fingerprint_batches, f"doc_id long, {'row long, ' if row else ''}fp long")
 
 
 # --- tiles ---------------------------------------------------------------------------------
@@ -163,19 +168,26 @@ def near_links(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
     return on_workers(pairs.select("fps_a", "fps_b", same.alias("same")), _compare(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, row: str | None = None) -> DataFrame:
     """`(doc_id, fp, component_id)` of every row of `docs`.
 
     Rows link at `radius` or fewer differing bits; component_id is the smallest doc_id reachable over links, the
     row's own included. Rows with equal fingerprints (repeated rows, copies, empty and null texts, all with
     fingerprint zero) are one node. A null doc_id stays in its class and never names it unless the class has no
     other; columns besides doc_id and text are ignored; no rows give no rows.
+
+    With `row`, a column of unique whole numbers, `row` and `kept` are returned too: exactly one row of each class is
+    kept, the one with the smallest doc_id, null last, then the least number.
     """
-    marked = settle(fingerprints(docs), "fingerprints")
-    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    marked = settle(fingerprints(docs, row), "fingerprints")
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")).alias("first")] if row else []
+    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), *first), "nodes")
     roots = components(near_links(nodes.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
-    classed = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = classed.groupBy("root").agg(F.min("least").alias("component_id"))
+    classed = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), *(["first"] if row else []))
+    names = classed.groupBy("root").agg(F.min("least").alias("component_id"), *([F.min("first").alias("first")] if row else []))
+    if row:
+        named = classed.join(names.withColumnRenamed("first", "of_class"), "root").select("fp", "component_id", F.col("of_class.row").alias("keep_row"))
+        return marked.join(named, "fp").select("doc_id", "fp", "component_id", "row", (F.col("row") == F.col("keep_row")).alias("kept"))
     return marked.join(classed.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 

@@ -79,6 +79,17 @@ def test_tokens_stage(spark, docs, sf_dir):
     assert sorted(str((r.doc_id, r.ids)) for r in got.collect()) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("name", ["exact dedup", "SimHash near-dedup"])
+def test_one_row_of_each_group(spark, sf_dir, name):
+    """Repeated rows, rows without an id and copies among them: one row of each group stays."""
+    texts = ["alpha beta gamma delta epsilon", "one two three four five six", "seven eight nine ten eleven"]
+    rows = [(5, texts[0]), (5, texts[0]), (3, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (9, texts[2]), (9, texts[2])]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row_key long").repartition(3)
+    got = STAGE[name](spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("3", texts[0]), ("None", texts[1]), ("9", texts[2])])
+
+
 def test_run_and_hard_rows(spark, sf_dir, nasty, nothing):
     assert 0 < corpus_pipeline.run(spark, sf_dir).count() < spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     plain = nasty.select("doc_id", "text", "lang", "source", "n_chars", "fp", "hash", "kept", "lost")
