@@ -19,6 +19,8 @@ WORDS, GRAMS = 60_000, 60_000
 ORDERS = (5, 4, 3, 2, 1)
 #: Words with a letter more than this are known by n-grams only.
 WORD_CHARS = 40
+#: Places of a word at which n-grams are cut in one go.
+STEP = 64
 KEPT = 200_000
 UNKNOWN = "und"
 
@@ -69,7 +71,7 @@ def _totals(counts: DataFrame) -> DataFrame:
 def train(docs: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
     """Model from the words of all training documents.
 
-    N-grams are counted over the words of the model, which cover most of the text, each word as often as it occurs.
+    N-grams are counted over all training words of any length, each as often as the word occurs.
     The driver gets the languages and at most `words` and `grams` rows.
     """
     counts = settle(word_counts(docs), "word-counts")
@@ -79,14 +81,16 @@ def train(docs: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
     if not langs:
         return Model([], {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32))
     known = _most_telling(counts.where(F.length("word") <= WORD_CHARS), "word", totals, words)
-    spark = docs.sparkSession
-    flat = [(r.word, lang, n) for r in known for lang, n in r.of]
-    table_of = spark.createDataFrame(flat, "word string, lang string, n long")
-    marked = table_of.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("word"), "lang", "n")
-    starts = F.sequence(F.lit(1), F.length("word"))
-    cut = F.flatten(F.array(*(F.transform(starts, lambda i, o=o: F.substring("word", i, F.lit(o))) for o in ORDERS)))
-    # Near the end, shorter pieces repeat those of lower orders; each string counts once per place and order.
-    pieces = marked.select("lang", "n", F.explode(F.array_distinct(cut)).alias("gram"))
+    marked = counts.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("word"), "lang", "n")
+    # Long words in parts that overlap, so that the cost follows their length.
+    part_starts = F.sequence(F.lit(1), F.length("word"), F.lit(STEP))
+    parts = marked.select("lang", "n", F.explode(F.transform(part_starts, lambda i: F.substring("word", i, F.lit(STEP + max(ORDERS) - 1)))).alias("part"))
+    starts = F.sequence(F.lit(1), F.least(F.length("part"), F.lit(STEP)))
+    # A second parameter of the inner function would be taken for the index of the element.
+    of_order = lambda o: F.transform(starts, lambda i: F.substring("part", i, F.lit(o)))
+    cut = F.flatten(F.array(*map(of_order, ORDERS)))
+    # Near the end, shorter pieces repeat those of lower orders; each string counts once per part.
+    pieces = parts.select("lang", "n", F.explode(F.array_distinct(cut)).alias("gram"))
     gram_counts = settle(pieces.groupBy("gram", "lang").agg(F.sum("n").alias("n")), "gram-counts")
     gram_rows = _most_telling(gram_counts, "gram", _totals(gram_counts), grams)
     gram_totals = {r.lang: r.total for r in _totals(gram_counts).collect()}

@@ -128,3 +128,14 @@ def test_language_backoff(spark, nasty, nothing):
     empty = langid.train(nothing)
     assert {r.lang_pred for r in langid.identify(nasty, empty).collect()} == {"und"}
     assert langid.identify(nothing, model).collect() == []
+
+
+def test_language_ngrams_of_all_words(spark):
+    """N-grams are those of all training words, however few words the model holds, and of words of any length."""
+    long = "".join(chr(97 + i * i % 26) + chr(97 + i % 23) for i in range(150))
+    rows = [(i, f"stone river {long} \u00fcber", "en") for i in range(9)] + [(i, "wasser haus", "de") for i in range(20, 29)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=1)
+    want = {f"^{w}$"[i : i + o] for w in ("stone", "river", long, "\u00fcber", "wasser", "haus") for o in langid.ORDERS for i in range(len(w) + 2)}
+    assert len(model.words) == 1 and set(model.grams) == want
+    scorer = langid.Scorer(model)
+    assert scorer.predict("rivers")[0] == "en" and scorer.predict("hausw")[0] == "de"
