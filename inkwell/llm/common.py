@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.session import scratch_path
+from inkwell.session import settle  # noqa: F401  the operators take it from here
 
 #: ASCII white space, as byte strings split it and as the contracts name it.
 WHITE = r"[\x20\x09-\x0D]"
@@ -22,27 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts the lineage, survives a lost executor."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 _shipped: set[str] = set()
 
 
-def on_workers(df: DataFrame, batches, schema) -> DataFrame:
-    """`mapInArrow` with this package on the workers' path, sent once per application as a Python archive."""
-    context = df.sparkSession.sparkContext
+def _ship(spark: SparkSession) -> None:
+    """Put this package on the workers' path, sent once per application as a Python archive."""
+    context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).parents[1]
         name = Path(tempfile.mkdtemp()) / f"{package.name}-{context.applicationId}"
         context.addPyFile(shutil.make_archive(str(name), "zip", package.parent, package.name))
         _shipped.add(context.applicationId)
+
+
+def on_workers(df: DataFrame, batches, schema) -> DataFrame:
+    """`mapInArrow` with this package on the workers' path."""
+    _ship(df.sparkSession)
     return df.mapInArrow(batches, schema)
 
 
+def on_workers_pandas(df: DataFrame, batches, schema) -> DataFrame:
+    """`mapInPandas` with this package on the workers' path."""
+    _ship(df.sparkSession)
+    return df.mapInPandas(batches, schema)
+
+
 def fold(modulus: int) -> Column:
     """crc32 of the id as text, modulo; a missing id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
