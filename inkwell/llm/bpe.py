@@ -21,12 +21,16 @@ from inkwell.llm.common import on_workers, ragged, slices, table, texts_of
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words, pieces and pairs of tokens whose results a worker keeps, about.
 KEPT = 200_000
+#: Longer words and pieces are worked out each time, so that what is kept has a bound in bytes.
+KEPT_CHARS = 64
 #: Stands for the word end; private use, so no byte letter.
 _END = "\ue000"
 
 #: The pre-tokenizer's pattern; for texts below U+0250 both libraries know the same letters.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: ASCII that stands for itself as a byte letter; control characters do not.
+_PRINTABLE = re.compile("[!-~]*")
 _PLAIN = re.compile("[^\x1c-\x1f\u0250-\U0010ffff]*")
 _ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 #: Characters that Python takes for white space and the pre-tokenizer does not.
@@ -52,6 +56,8 @@ class Recent:
         found = self.old.get(key)
         if found is None:
             found = make(key)
+        if len(key) > KEPT_CHARS:
+            return found
         if len(self.new) >= KEPT:
             self.old, self.new = self.new, {}
         self.new[key] = found
@@ -73,6 +79,9 @@ class PrefixEncoder:
         suffix = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.ids = model["vocab"]
+        lacking = [x for x in byte_letters().values() for end in ("", suffix) if x + end not in self.ids]
+        if lacking:
+            raise ValueError(f"{path}: no token for the bytes {lacking}, so not every text has an encoding")
         marked = lambda t: t[: -len(suffix)] + _END if suffix and t.endswith(suffix) else t
         self.merges: dict[tuple[int, int], int] = {}
         # Of each token: the step that makes it, and what it is made of; -1 for single letters.
@@ -180,7 +189,7 @@ class PrefixEncoder:
 
     def _words(self, chunk: str) -> list[str]:
         if _PLAIN.fullmatch(chunk):
-            if chunk.isascii():
+            if _PRINTABLE.fullmatch(chunk):
                 return _ASCII_WORDS.findall(chunk.lower())
             words = _WORDS.findall(chunk.lower())
             return [w.encode().decode("latin-1").translate(self.letters) for w in words]

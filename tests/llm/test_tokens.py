@@ -33,6 +33,22 @@ def test_prefix_encoder():
         assert back.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_every_byte():
+    """Control characters and all other bytes, alone, in pairs and inside words."""
+    own, library = bpe.PrefixEncoder(bpe.VOCABULARY), Tokenizer.from_file(bpe.VOCABULARY)
+    chars = [chr(i) for i in range(256)]
+    texts = [*chars, *(a + b for a in chars for b in chars), *(f"wo{c}rd {c}log! x{c}" for c in chars), *(f"{c}{c}{c}1{c}" for c in chars)]
+    texts += ["!\x01! log", "abc\x1b[31m red\x1b[0m", "a\x00b\x00", "\x7f\x08" * 40 + "É\x01"]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert own.encode(text).tolist() == want.ids, text
+
+
+def test_kept_results_are_bounded_in_bytes():
+    own = bpe.PrefixEncoder(bpe.VOCABULARY)
+    own.encode("x" * 500 + " short " + "ab" * 40)
+    assert all(len(k) <= bpe.KEPT_CHARS for r in (own.words, own.chunks) for k in r.new)
+
+
 def test_results_survive_small_tables(monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", 5)
     own, library = bpe.PrefixEncoder(bpe.VOCABULARY), Tokenizer.from_file(bpe.VOCABULARY)
