@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -13,13 +14,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkwell.llm.common import on_workers, settle, table, texts_of
+from inkwell.llm.common import on_workers, settle, table
+from inkwell.llm.textscan import blocks
 from inkwell.session import scratch_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -75,39 +78,106 @@ class PieceEncoder:
         new = list(set(pieces).difference(self.whole))
         self.whole |= zip(new, (x.tobytes() for x in self._encode(new)))
         found = b"".join(map(self.whole.__getitem__, pieces))
-        if len(self.whole) > KEPT or any(len(x) > KEPT_CHARS for x in new):
+        for piece in new:
+            if len(piece) > KEPT_CHARS:
+                del self.whole[piece]
+        if len(self.whole) > KEPT:
             self.whole.clear()
         return found
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of words after a space, ODD among them."""
         if len(self.known) > KEPT:
             self.older, self.known = self.known, {}
-        cut, found, new = [], [], set()
-        for text in texts:
-            special = any(s in text for s in self.special)
-            first, *words = [text] if special else text.split(" ")
-            ids = list(map(self.known.get, words))
-            missing = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            new.update([words[i] for i in missing])
-            cut.append((special, first, words, ids, missing))
-        again = new.intersection(self.older)
+        missing = [w for w in words if w not in self.known]
+        again = [w for w in missing if w in self.older]
         self.known |= zip(again, map(self.older.__getitem__, again))
-        self._learn(list(new - again))
-        for text, (special, first, words, ids, missing) in zip(texts, cut):
-            for i in missing:
-                ids[i] = self.known[words[i]]
-            if special:
-                found.append(self._encode([text])[0].tobytes())
-            elif ODD in ids or first[-1:].isspace() and words:
-                found.append(self._by_border(text))
-            else:
-                found.append(self._by_border(first) + b"".join(ids))
-        for word in new:
+        self._learn([w for w in missing if w not in self.older])
+        found = list(map(self.known.__getitem__, words))
+        for word in missing:
             if len(word) > KEPT_CHARS:
-                self.known.pop(word, None)
+                del self.known[word]
         return found
 
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an Arrow column, one after the other, and how many each text has.
+
+        Texts are cut at single spaces as bytes; each different piece is looked up once, and the ids of all pieces are
+        taken from a table of the different ones.
+        """
+        texts = pc.fill_null(column.cast(pa.large_string()), "")
+        parts = Pieces(texts)
+        first = np.zeros(len(parts.starts), bool)
+        first[parts.base[:-1]] = True
+        # Pieces after a space.
+        numbers, words = parts.different(~first)
+        ids = self._ids_of(words)
+        odd = np.array([x is ODD for x in ids] or [False])
+        # Texts that are not simply the sum of their pieces: with special tokens, or with a word beside other white space.
+        special = np.zeros(len(texts), bool)
+        for mark in self.special:
+            special |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False).astype(bool)
+        whole = np.zeros(len(texts), bool)
+        whole[parts.doc[~first][odd[numbers]]] = True
+        head_numbers, heads = parts.different(first)
+        loose = np.array([h[-1:].isspace() for h in heads] or [False])
+        whole |= loose[head_numbers] & (np.diff(parts.base) > 1)
+        alone = np.flatnonzero(whole | special)
+        own = [
+            self._encode([t])[0].tobytes() if special[i] else self._by_border(t) for i, t in ((i, texts[i].as_py()) for i in alone.tolist())
+        ]
+        used = np.zeros(len(heads), bool)
+        used[head_numbers[~(whole | special)]] = True
+        entries = [*(b"" if x is ODD else x for x in ids), *(self._by_border(h) if u else b"" for h, u in zip(heads, used)), *own, b""]
+        at = np.zeros(len(parts.starts), np.int64)
+        at[~first], at[first] = numbers, len(ids) + head_numbers
+        at[(whole | special)[parts.doc]] = len(entries) - 1
+        at[parts.base[alone]] = len(ids) + len(heads) + np.arange(len(alone))
+        lengths = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+        starts = np.cumsum(lengths) - lengths
+        n = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        table = np.frombuffer(b"".join(entries), "<u4")
+        return table[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])], np.diff(ends[parts.base])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        ids, n = self.encode_column(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])] if len(texts) else []
+
+
+@functools.cache
+def piece_encoder(path: str) -> PieceEncoder:
+    """One encoder per worker and vocabulary, so that a task begins with the words of those before it."""
+    return PieceEncoder(path)
+
+
+class Pieces:
+    """Texts cut at every space: where each piece begins, which text it is of, and where each text's pieces begin."""
+
+    def __init__(self, texts: pa.Array):
+        _, offsets, data = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        self.data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+        at = at - at[0]
+        self.solid = self.data != 32
+        before = np.concatenate([[0], np.cumsum(self.solid)])
+        self.base = np.concatenate([[0], np.cumsum(1 + np.diff(at) - np.diff(before[at]))])
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.base))
+        first = np.zeros(self.base[-1], bool)
+        first[self.base[:-1]] = True
+        self.starts = np.empty(self.base[-1], np.int64)
+        self.starts[first] = at[:-1]
+        self.starts[~first] = np.flatnonzero(~self.solid) + 1
+        ends = np.append(before[self.starts], before[-1])
+        held = pa.py_buffer(self.data[self.solid])
+        self.pieces = pa.Array.from_buffers(pa.large_string(), len(self.starts), [None, pa.py_buffer(ends.astype(np.int64)), held])
+
+    def different(self, held: np.ndarray) -> tuple[np.ndarray, list[str]]:
+        """The different ones among some pieces, and the number of each piece among them."""
+        coded = self.pieces.filter(pa.array(held)).dictionary_encode()
+        return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+
 
 # --- file format ---------------------------------------------------------------------------
 def pack(doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -208,15 +278,16 @@ def write_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, file_i
     """
 
     def batches(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, n = PieceEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, part, n = piece_encoder(vocabulary), TaskContext.get().partitionId(), 0
         store, folder = fs.FileSystem.from_uri(path)
-        end = struct.pack("<I", END_ID)
-        names, held, lengths = [], [], []
+        names: list[int | None] = []
+        held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
             nonlocal n
             name = f"{part:06d}-{n:06d}-{uuid.uuid4().hex}.dac"
-            ids, ends = np.frombuffer(b"".join(held), "<u4"), np.cumsum(lengths)
+            ids, ends = np.concatenate(held), np.cumsum(np.concatenate(lengths))
             store.create_dir(folder, recursive=True)
             with store.open_output_stream(f"{folder}/{name}") as file:
                 file.write(pack(names, ids, ends))
@@ -226,16 +297,18 @@ def write_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, file_i
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(v) for v in row], ["part", "file", "path", "docs", "ids"])
 
-        for batch in given:
-            for start in range(0, batch.num_rows, 256):
-                some = batch.slice(start, 256)
-                encoded = encoder.encode_all(list(texts_of(some["text"])))
-                for doc_id, ids in zip(some["doc_id"].to_pylist(), encoded):
-                    names.append(doc_id)
-                    held.append(ids + end)
-                    lengths.append(len(ids) // 4 + 1)
-                if sum(lengths) >= file_ids:
-                    yield flush()
+        waiting = 0
+        for batch in blocks(given):
+            ids, own = encoder.encode_column(batch["text"])
+            ended = np.full(len(ids) + len(own), END_ID, "<u4")
+            ended[np.arange(len(ids)) + np.repeat(np.arange(len(own)), own)] = ids
+            names.extend(batch["doc_id"].to_pylist())
+            held.append(ended)
+            lengths.append(own + 1)
+            waiting += len(ended)
+            if waiting >= file_ids:
+                waiting = 0
+                yield flush()
         if names:
             yield flush()
 
