@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import fold, on_workers, settle, slices, table, texts_of
+from inkwell.llm.common import fold, on_workers, settle, table
+from inkwell.llm.textscan import Texts, blocks, class_of
 
 MODULUS, HELD = 5, 0
 #: The model's size, at most: words and n-grams, those with the highest share in any language.
@@ -24,7 +25,10 @@ STEP = 64
 KEPT = 200_000
 UNKNOWN = "und"
 
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Runs of letters, as in training.
+_WORDS = regex.compile(r"\p{L}+")
+#: ASCII that no word holds.
+_BETWEEN = class_of(bytes(b for b in range(128) if not chr(b).isalpha()))
 
 
 # --- training ------------------------------------------------------------------------------
@@ -126,18 +130,43 @@ class Scorer:
                 self.unseen[word] = known
         return known
 
-    def predict(self, text: str) -> tuple[str, float]:
-        """Language and its posterior, all languages being alike before."""
-        words = [w for w in _WORDS.findall(text.lower()) if w.isalpha()]
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0
-        get = self.model.words.get
-        at = np.array([get(w, -1) for w in words])
-        total = self.model.word_logs[at[at >= 0]].sum(0, dtype=np.float64)
-        for i in np.flatnonzero(at < 0):
-            total = total + self._unseen(words[i])
-        best = int(np.argmax(total))
-        return self.model.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
+    def _token(self, token: str) -> np.ndarray | None:
+        """Sum over the words of a token; None if it has no letter."""
+        found = [self._word(w) for w in _WORDS.findall(token)]
+        return np.sum(found, axis=0, dtype=np.float64) if found else None
+
+    def _word(self, word: str) -> np.ndarray:
+        at = self.model.words.get(word)
+        return self._unseen(word) if at is None else self.model.word_logs[at].astype(np.float64)
+
+    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Languages and their posteriors for an Arrow column of texts, all languages being alike before.
+
+        Texts are cut at ASCII characters other than letters; each different piece is scored once and the scores are
+        added up by text.
+        """
+        texts = Texts(column, _BETWEEN)
+        coded = texts.parts().dictionary_encode()
+        numbers, tokens = coded.indices.to_numpy(zero_copy_only=False), [t.decode().lower() for t in coded.dictionary.to_pylist()]
+        langs = self.model.langs
+        logs, letters = np.zeros((len(tokens), len(langs))), np.ones(len(tokens), bool)
+        at = np.array([self.model.words.get(t, -1) for t in tokens], np.int64)
+        if langs:
+            logs[at >= 0] = self.model.word_logs[at[at >= 0]]
+        for i in np.flatnonzero(at < 0).tolist():
+            found = self._token(tokens[i])
+            if found is None:
+                letters[i] = False
+            elif langs:
+                logs[i] = found
+        has_letter = np.bincount(texts.doc, weights=letters[numbers], minlength=texts.n) > 0
+        if not langs:
+            return [UNKNOWN] * texts.n, np.zeros(texts.n)
+        totals = np.stack([np.bincount(texts.doc, weights=logs[numbers, k], minlength=texts.n) for k in range(len(langs))], axis=1)
+        best = totals.argmax(1)
+        above = np.maximum(totals - totals[np.arange(texts.n), best][:, None], -700)
+        scores = np.where(has_letter, 1 / np.exp(above).sum(1), 0.0)
+        return [langs[b] if known else UNKNOWN for b, known in zip(best.tolist(), has_letter.tolist())], scores
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -150,9 +179,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def batches(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for batch in slices(given):
-            found = [scorer.predict(t) for t in texts_of(batch["text"])]
-            columns = [batch["doc_id"], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+        for batch in blocks(given):
+            found, scores = scorer.predict(batch["text"])
+            columns = [batch["doc_id"], pa.array(found, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

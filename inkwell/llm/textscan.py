@@ -56,16 +56,16 @@ def paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Texts:
-    """The texts of an Arrow column; null counts as empty."""
+    """The texts of an Arrow column; null counts as empty. Words are runs without the bytes `between`."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, between: np.ndarray = IS_WHITE):
         texts = pc.fill_null(column.cast(pa.large_string()), "")
         self.n = len(texts)
         _, offsets, data = texts.buffers()
         ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + self.n + 1] if self.n else np.zeros(1, np.int64)
         self.data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
         self.at = ends - ends[0]
-        self.solid = ~IS_WHITE[self.data]
+        self.solid = ~between[self.data]
         first = self.solid.copy()
         first[1:] &= ~self.solid[:-1]
         starts = self.at[:-1][self.at[:-1] < self.at[1:]]
@@ -89,10 +89,14 @@ class Texts:
         ends = np.append(before[starts], before[-1]).astype(np.int64)
         return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(self.data[kept])])
 
+    def parts(self) -> pa.Array:
+        """All words as byte strings."""
+        return self._parts(self.solid, self.starts)
+
     def words(self) -> np.ndarray:
         """A number per word; equal words of one document have equal ones, words of different documents never."""
         if self._words is None:
-            self._words = paired(codes(self._parts(self.solid, self.starts)), self.doc)
+            self._words = paired(codes(self.parts()), self.doc)
         return self._words
 
     def n_distinct(self) -> np.ndarray:

@@ -1,11 +1,14 @@
 """Classifiers: held-out accuracy, the mathematics against enumeration, hard rows."""
 
 import itertools
+import math
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 
 from inkwell.llm import langid, quality, toxicity
 
@@ -114,14 +117,52 @@ def test_language_word_counts(spark, nasty):
     assert got == want
 
 
+def predicted(scorer, text):
+    (lang,), (score,) = scorer.predict(pa.array([text], pa.string()))
+    return lang, score
+
+
+def plain_language(model, text):
+    """Word by word: known words by their frequency, others by the mean of their longest known n-grams."""
+    total, words = [0.0] * len(model.langs), regex.findall(r"\p{L}+", text.lower())
+    for word in words:
+        if word in model.words:
+            logs = model.word_logs[model.words[word]].tolist()
+        else:
+            logs = [0.0] * len(model.langs)
+            for order in langid.ORDERS:
+                cut = [f"^{word}$"[i : i + order] for i in range(len(word) + 3 - order)]
+                rows = [model.gram_logs[model.grams[g]].tolist() for g in cut if g in model.grams]
+                if rows:
+                    logs = [sum(x) / len(rows) for x in zip(*rows)]
+                    break
+        total = [a + b for a, b in zip(total, logs)]
+    if not words or not model.langs:
+        return "und", 0.0
+    best = max(range(len(total)), key=lambda i: total[i])
+    return model.langs[best], 1 / sum(math.exp(max(x - total[best], -700)) for x in total)
+
+
+def test_language_against_a_plain_loop(spark, nasty):
+    docs = tables(spark, "documents")
+    for size in (300, 60_000):
+        model = langid.train(docs, words=size, grams=size)
+        scorer = langid.Scorer(model)
+        texts = [r.text or "" for r in docs.limit(150).collect()] + [r.text or "" for r in nasty.select("text").collect()] + ["m²", "x₂y", "²", "Ünder-Été", "İK"]
+        langs, scores = scorer.predict(pa.array(texts))
+        for text, lang, score in zip(texts, langs, scores):
+            want = plain_language(model, text)
+            assert lang == want[0] and score == pytest.approx(want[1], abs=1e-3), text
+
+
 def test_language_backoff(spark, nasty, nothing):
     rows = [(i, "the house of the water and the stone", "en", "s", 1) for i in range(9)]
     rows += [(i, "das wasser und der stein und das haus", "de", "s", 1) for i in range(20, 29)]
     model = langid.train(spark.createDataFrame(rows, nasty.sparkSession.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").schema))
     scorer = langid.Scorer(model)
-    assert scorer.predict("the water")[0] == "en" and scorer.predict("wasserstein")[0] == "de"  # unseen word
-    assert scorer.predict("")[0] == scorer.predict("12 !? ²")[0] == "und"
-    assert scorer.predict("漢字漢字")[1] == pytest.approx(0.5, abs=0.05)  # nothing known of it
+    assert predicted(scorer, "the water")[0] == "en" and predicted(scorer, "wasserstein")[0] == "de"  # unseen word
+    assert predicted(scorer, "")[0] == predicted(scorer, "12 !? ²")[0] == "und" and predicted(scorer, "m²")[0] != "und"
+    assert predicted(scorer, "漢字漢字")[1] == pytest.approx(0.5, abs=0.05)  # nothing known of it
     got = langid.identify(nasty, model).collect()
     assert len(got) == nasty.count() and all(0 <= r.score <= 1 for r in got)
     assert {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"}
@@ -138,4 +179,4 @@ def test_language_ngrams_of_all_words(spark):
     want = {f"^{w}$"[i : i + o] for w in ("stone", "river", long, "\u00fcber", "wasser", "haus") for o in langid.ORDERS for i in range(len(w) + 2)}
     assert len(model.words) == 1 and set(model.grams) == want
     scorer = langid.Scorer(model)
-    assert scorer.predict("rivers")[0] == "en" and scorer.predict("hausw")[0] == "de"
+    assert predicted(scorer, "rivers")[0] == "en" and predicted(scorer, "hausw")[0] == "de"
