@@ -113,7 +113,7 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, slot_terms = index_for(spark, sf_dir), _slot_terms(spark, sf_dir)
-    candidates = matching.phrase_candidates(slot_terms, index.postings, index.buckets)
+    candidates = searching.settle(matching.phrase_candidates(slot_terms, index.postings, index.buckets), "candidates")
     return matching.match_phrases(slot_terms, index.postings, candidates, index.buckets)
 
 
@@ -127,9 +127,7 @@ def _match_rows(matches: DataFrame) -> DataFrame:
 
 
 def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = parsed_for(spark, sf_dir)
-    wanted = log.clauses.join(log.queries.select("query_id", "n_positive"), "query_id").withColumn("q", F.lit(0))
-    return matching.combine_clauses(_matches(spark, sf_dir), wanted, F.struct("clause_no", "freq"))
+    return searching.held_documents(index_for(spark, sf_dir), parsed_for(spark, sf_dir), _slot_terms(spark, sf_dir), with_filters=False)
 
 
 # --- scans, sources, sinks ------------------------------------------------------------------

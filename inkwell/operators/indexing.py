@@ -110,15 +110,44 @@ def build_postings(docs: DataFrame) -> DataFrame:
 
 
 def build_vocab(postings: DataFrame) -> DataFrame:
-    """Distinct terms with stem and document count; only distinct terms are stemmed."""
-    counts = postings.groupBy("term").agg(F.count_if("lead").alias("n_docs"))
-    return counts.select("term", stem("term").alias("stem"), "n_docs")
+    """Distinct terms with stem and the documents that hold them, anywhere and in the title; only distinct terms
+    are stemmed."""
+    counts = postings.groupBy("term").agg(
+        F.count_if("lead").alias("n_docs"), F.count_if(F.col("col") == "title").alias("n_title")
+    )
+    return counts.select("term", stem("term").alias("stem"), "n_docs", "n_title")
+
+
+def stem_holders(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """`(stem, id, in_title)`: the documents of each stem, for the given `(term, stem)` rows."""
+    narrow = postings.where(F.col("lead") | (F.col("col") == "title")).select("term", "id", (F.col("col") == "title").alias("in_title"))
+    return narrow.join(terms.select("term", "stem"), "term").groupBy("stem", "id").agg(F.max("in_title").alias("in_title"))
+
+
+def with_stem_counts(vocab: DataFrame, postings: DataFrame) -> DataFrame:
+    """A8 in advance: `stem_docs` and `stem_title_docs`, the documents that hold a term of the stem.
+
+    A search then knows the frequency of a plain word, and which of its words is the rarest, before it reads a posting.
+    Most stems have one term, whose own counts they are; only postings of the others are grouped by document.
+    """
+    stems = vocab.groupBy("stem").agg(
+        F.count("*").alias("n_terms"), F.sum("n_docs").alias("one_docs"), F.sum("n_title").alias("one_title")
+    )
+    several = vocab.join(stems.where("n_terms > 1"), "stem").select("term", "stem")
+    held = stem_holders(postings, several).groupBy("stem").agg(
+        F.count("*").alias("many_docs"), F.count_if("in_title").alias("many_title")
+    )
+    counts = stems.join(held, "stem", "left").select(
+        "stem", F.coalesce("many_docs", "one_docs").alias("stem_docs"), F.coalesce("many_title", "one_title").alias("stem_title_docs")
+    )
+    return vocab.join(counts, "stem").select(*vocab.columns, "stem_docs", "stem_title_docs")
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
-    """One row; size and mean length of the whole archive."""
+    """One row; size, tokens and mean length of the whole archive."""
     return lengths.agg(
-        F.count("*").alias("n_docs"), F.coalesce(F.avg("n_tokens"), F.lit(0.0)).alias("avg_len")
+        F.count("*").alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_tokens"),
+        F.coalesce(F.avg("n_tokens"), F.lit(0.0)).alias("avg_len"),
     )
 
 

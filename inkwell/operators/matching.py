@@ -32,33 +32,44 @@ def clause_slots(clauses: DataFrame) -> DataFrame:
     return slots.select(
         "clause_key", "title_only", "n_terms", "slot", stem("term").alias("stem"),
         (F.col("prefix") & (F.col("slot") == F.col("n_terms") - 1)).alias("as_prefix"),
+        is_plain().alias("plain"),
     )
 
 
-def widen_slots(slots: DataFrame, vocab: DataFrame, buckets: int, with_prefixes: bool = True) -> DataFrame:
+def is_plain(n_terms: str = "n_terms") -> Column:
+    """One whole word: its matches and their number are known from the vocabulary and the postings alone."""
+    return (F.col(n_terms) == 1) & ~F.col("prefix")
+
+
+# What a search needs to know of the terms that a slot stands for.
+SLOT_TERM_COLUMNS = ("clause_key", "title_only", "n_terms", "plain", "slot", "term", "n_docs", "stem_docs", "stem_title_docs")
+
+
+def widen_slots(
+    slots: DataFrame, vocab: DataFrame, buckets: int, with_prefixes: bool = True, prefixed: DataFrame | None = None
+) -> DataFrame:
     """The terms of the archive that each slot stands for.
 
     Whole stems meet the vocabulary by equality. For prefixes every stem is listed under the
     prefix lengths that the log uses, so that this is an equality join as well and no pair of
-    prefix and stem is tried in vain.
+    prefix and stem is tried in vain. `prefixed` is the part of the vocabulary to be listed, if that is known.
     """
     whole = (
         slots.where(~F.col("as_prefix"))
         .withColumn("stem_bucket", bucket_of(F.col("stem"), buckets))
-        .join(vocab.select("stem_bucket", "stem", "term"), ["stem_bucket", "stem"])
+        .join(vocab, ["stem_bucket", "stem"])
     )
-    columns = ("clause_key", "title_only", "n_terms", "slot", "term")
     if not with_prefixes:
-        return whole.select(*columns)
-    prefixes = slots.where("as_prefix").withColumnRenamed("stem", "prefix")
-    lengths = prefixes.agg(F.collect_set(F.char_length("prefix")).alias("n")).scalar()
+        return whole.select(*SLOT_TERM_COLUMNS)
+    prefixes = slots.where("as_prefix").withColumnRenamed("stem", "prefix_of")
+    lengths = prefixes.agg(F.collect_set(F.char_length("prefix_of")).alias("n")).scalar()
     listed = (
-        vocab.select("stem", "term", lengths.alias("lengths"))
-        .select("term", "stem", F.explode_outer("lengths").alias("n"))
+        (vocab if prefixed is None else prefixed).withColumn("lengths", lengths)
+        .withColumn("n", F.explode_outer("lengths"))
         .where(F.col("n") <= F.char_length("stem"))
-        .select("term", F.substring(F.col("stem"), F.lit(1), F.col("n")).alias("prefix"))
+        .withColumn("prefix_of", F.substring(F.col("stem"), F.lit(1), F.col("n")))
     )
-    return whole.select(*columns).unionByName(prefixes.join(listed, "prefix").select(*columns))
+    return whole.select(*SLOT_TERM_COLUMNS).unionByName(prefixes.join(listed, "prefix_of").select(*SLOT_TERM_COLUMNS))
 
 
 def term_lookup(slot_terms: DataFrame, postings: DataFrame, buckets: int) -> DataFrame:
@@ -81,19 +92,41 @@ def _column_code(col: Column) -> Column:
 
 
 def match_single_terms(slot_terms: DataFrame, postings: DataFrame, buckets: int) -> DataFrame:
-    """X7 for clauses of one term: weighted frequencies, without reading positions."""
+    """X7 for clauses of one term: weighted frequencies, without reading positions.
+
+    Frequencies are added up within each bucket first, so a prefix of very many terms shuffles
+    one row per document and bucket.
+    """
     found = term_lookup(slot_terms.where("n_terms = 1"), postings, buckets)
     places = found.select("id", "clause_key", *DOC_FACTS, (F.col("weight") * F.col("n_places")).alias("f"))
-    return places.repartition("id").groupBy("id", "clause_key", *DOC_FACTS).agg(F.sum("f").alias("freq"))
+    return places.groupBy("id", "clause_key", *DOC_FACTS).agg(F.sum("f").alias("freq"))
+
+
+def rarest_slots(slot_terms: DataFrame) -> DataFrame:
+    """`(clause_key, slot)` of the slot with the fewest documents of every phrase all of whose slots stand for terms."""
+    costs = slot_terms.where("n_terms > 1").groupBy("clause_key", "n_terms", "slot").agg(F.sum("n_docs").alias("cost"))
+    slots = F.sort_array(F.collect_list(F.struct("cost", "slot")))
+    phrases = costs.groupBy("clause_key", "n_terms").agg(slots.alias("slots")).where(F.size("slots") == F.col("n_terms"))
+    return phrases.select("clause_key", F.col("slots")[0]["slot"].alias("slot"))
+
 
+def phrase_seeds(slot_terms: DataFrame, postings: DataFrame, buckets: int) -> DataFrame:
+    """Where the rarest term of every phrase stands; all matches of the phrase are among them."""
+    rarest = slot_terms.join(rarest_slots(slot_terms), ["clause_key", "slot"], "left_semi")
+    return term_lookup(rarest, postings, buckets).select("id", "clause_key", "col").distinct()
 
-def phrase_candidates(slot_terms: DataFrame, postings: DataFrame, buckets: int) -> DataFrame:
+
+def phrase_candidates(
+    slot_terms: DataFrame, postings: DataFrame, buckets: int, seeds: DataFrame | None = None
+) -> DataFrame:
     """J3, first half: where all terms of a phrase occur in one column of a document.
 
-    One bit per slot, combined before the shuffle; positions are not read. Of very long
-    phrases slots 64 apart share a bit, which only lets more candidates through.
+    Only places of the rarest term can be candidates; postings of the others are cut to them where they are read,
+    before any shuffle if the `seeds` are few. One bit per slot, combined before the shuffle; positions are not
+    read. Of very long phrases slots 64 apart share a bit, which only lets more candidates through.
     """
-    found = term_lookup(slot_terms.where("n_terms > 1"), postings, buckets)
+    seeds = phrase_seeds(slot_terms, postings, buckets) if seeds is None else seeds
+    found = term_lookup(slot_terms.where("n_terms > 1"), postings, buckets).join(seeds, ["id", "clause_key", "col"], "left_semi")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
     masks = found.groupBy("id", "clause_key", "n_terms", "col").agg(F.bit_or(bit).alias("mask"))
     full = F.bit_count("mask") == F.least(F.col("n_terms"), F.lit(64))
@@ -112,7 +145,7 @@ def match_phrases(slot_terms: DataFrame, postings: DataFrame, candidates: DataFr
     base = _column_code(F.col("col")) * F.lit(COLUMN_STEP) - F.col("slot")
     places = found.select(
         "id", "clause_key", "n_terms", *DOC_FACTS, F.transform("positions", lambda p: base + p).alias("places")
-    ).repartition("id")
+    )
     grouped = places.groupBy("id", "clause_key", "n_terms", *DOC_FACTS).agg(
         F.sort_array(F.flatten(F.collect_list("places"))).alias("places")
     )
@@ -134,8 +167,7 @@ def match_clauses(
 ) -> DataFrame:
     """Documents of each clause with weighted frequency, and what scores and filters read.
 
-    One shuffle, by document id; everything after it up to the top hits keeps that
-    partitioning. Without `candidates` there must be no phrase among the clauses.
+    Without `candidates` there must be no phrase among the clauses.
     """
     single = match_single_terms(slot_terms, postings, buckets)
     if candidates is None:
@@ -144,30 +176,5 @@ def match_clauses(
 
 
 def document_frequency(matches: DataFrame) -> DataFrame:
-    """Documents per clause. Search filters do not count here.
-
-    The count reads `freq`: then its branch of a search plan needs the same columns as the
-    other one, and both share one shuffle of the postings.
-    """
-    return matches.groupBy("clause_key").agg(F.count_if(F.col("freq") > 0).alias("n_docs"))
-
-
-def combine_clauses(matches: DataFrame, query_clauses: DataFrame, parts: Column) -> DataFrame:
-    """Documents that hold every positive clause and no negated one, per query.
-
-    Exclusion is a flag of the same grouping instead of an anti join. `parts` is collected over
-    the positive clauses in clause order.
-    """
-    held = matches.join(query_clauses, "clause_key")
-    return (
-        held.groupBy("id", "query_id", *DOC_FACTS)
-        .agg(
-            F.first("n_positive").alias("n_positive"),
-            F.first("q").alias("q"),
-            F.count_if(~F.col("negated")).alias("n_held"),
-            F.max("negated").alias("excluded"),
-            F.sort_array(F.collect_list(F.when(~F.col("negated"), parts))).alias("parts"),
-        )
-        .where((F.col("n_held") == F.col("n_positive")) & ~F.col("excluded"))
-        .drop("n_held", "n_positive", "excluded")
-    )
+    """Documents per clause. Search filters do not count here."""
+    return matches.groupBy("clause_key").agg(F.count("*").alias("n_docs"))

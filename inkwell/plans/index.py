@@ -5,7 +5,10 @@ Layout, chosen so that a search reads a small part of a large archive:
 * `postings`   partitioned by a hash bucket of the term, sorted by term inside
 * `vocab`      partitioned by a hash bucket of the stem
 * `documents`  partitioned by a hash bucket of the id, with the token count of each document
-* `corpus`     one row: document count, mean length, number of buckets
+* `corpus`     one row: document count, tokens, mean length, number of buckets
+
+Rows are sorted inside a bucket and pages hold few of them, so that the page index of a file, its zone map by term or
+id, lets a scan with given values skip nearly all of the bucket.
 """
 
 from __future__ import annotations
@@ -23,9 +26,13 @@ from inkwell.operators.indexing import (
     corpus_stats,
     token_count,
     update_postings,
+    with_stem_counts,
 )
+from inkwell.session import settle
 from inkwell.sources.archive import DOCUMENT_SCHEMA
 
+# Rows of a page, the least that a scan can skip.
+PAGE_ROWS = 2000
 STORED_COLUMNS = (*DOCUMENT_COLUMNS, "n_tokens", "id_bucket")
 
 
@@ -35,9 +42,14 @@ class ArchiveIndex:
     postings: DataFrame
     vocab: DataFrame
     n_docs: int
-    avg_len: float
+    all_tokens: int
     buckets: int
 
+    @property
+    def avg_len(self) -> float:
+        # Without documents nothing is scored.
+        return self.all_tokens / self.n_docs if self.n_docs else 1.0
+
 
 def _write_bucketed(df: DataFrame, path: str, bucket: str, sort: list[str]) -> None:
     """One folder per bucket. The rebalance hint splits oversized and joins undersized
@@ -46,6 +58,7 @@ def _write_bucketed(df: DataFrame, path: str, bucket: str, sort: list[str]) -> N
         df.hint("rebalance", bucket)
         .sortWithinPartitions(bucket, *sort)
         .write.partitionBy(bucket)
+        .option("parquet.page.row.count.limit", PAGE_ROWS)
         .parquet(path)
     )
 
@@ -67,7 +80,7 @@ def _read(spark: SparkSession, path: str, part: str) -> DataFrame:
     postings = build_postings(documents).withColumn("term_bucket", bucket_of(F.col("term"), 1))
     if part == "postings":
         return spark.read.schema(postings.schema).parquet(f"{path}/{part}")
-    vocab = build_vocab(postings).withColumn("stem_bucket", bucket_of(F.col("stem"), 1))
+    vocab = with_stem_counts(build_vocab(postings), postings).withColumn("stem_bucket", bucket_of(F.col("stem"), 1))
     return spark.read.schema(vocab.schema).parquet(f"{path}/{part}")
 
 
@@ -78,9 +91,10 @@ def _finish(spark: SparkSession, postings: DataFrame, path: str, buckets: int) -
         postings.withColumn("term_bucket", bucket_of(F.col("term"), buckets)),
         f"{path}/postings", "term_bucket", ["term", "id"],
     )
-    vocab = build_vocab(_read(spark, path, "postings"))
+    stored = _read(spark, path, "postings")
+    vocab = settle(build_vocab(stored), "vocab")
     _write_bucketed(
-        vocab.withColumn("stem_bucket", bucket_of(F.col("stem"), buckets)),
+        with_stem_counts(vocab, stored).withColumn("stem_bucket", bucket_of(F.col("stem"), buckets)),
         f"{path}/vocab", "stem_bucket", ["stem", "term"],
     )
     stats = corpus_stats(_read(spark, path, "documents"))
@@ -96,7 +110,9 @@ def build_index(spark: SparkSession, docs: DataFrame, path: str, buckets: int =
     """
     placed = docs.select(*DOCUMENT_COLUMNS, bucket_of(F.col("id"), buckets).alias("id_bucket"))
     counted = placed.hint("rebalance", "id_bucket").withColumn("n_tokens", token_count())
-    counted.sortWithinPartitions("id_bucket", "id").write.partitionBy("id_bucket").parquet(f"{path}/documents")
+    counted.sortWithinPartitions("id_bucket", "id").write.partitionBy("id_bucket").option(
+        "parquet.page.row.count.limit", PAGE_ROWS
+    ).parquet(f"{path}/documents")
     return _finish(spark, build_postings(_read(spark, path, "documents")), path, buckets)
 
 
@@ -107,8 +123,7 @@ def open_index(spark: SparkSession, path: str) -> ArchiveIndex:
         postings=_read(spark, path, "postings"),
         vocab=_read(spark, path, "vocab"),
         n_docs=corpus["n_docs"],
-        # Without documents nothing is scored.
-        avg_len=corpus["avg_len"] or 1.0,
+        all_tokens=corpus["all_tokens"],
         buckets=corpus["buckets"],
     )
 

@@ -415,8 +415,14 @@ def test_a_string_that_fills_the_log(spark, small_index):
 
 
 def test_search_reads_only_wanted_buckets(spark, small_index):
+    log = spark.createDataFrame([(0, "cedar", False), (1, "birch", False)], "query_id long, raw string, prefix_last boolean")
+    assert "dynamicpruning" in search_batch(small_index, log)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_search_fetches_bodies_by_one_scan_with_the_ids_as_values(spark, small_index):
     plan = search(small_index, spark, "cedar")._jdf.queryExecution().executedPlan().toString()
-    assert "dynamicpruning" in plan
+    (scan,) = [line for line in plan.splitlines() if "FileScan" in line]
+    assert "EqualTo(id,k4)" in scan and "id_bucket" in scan and "dynamicpruning" not in plan
 
 
 def test_an_empty_archive_can_be_searched_and_filled(spark):
