@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,8 @@ class Model(NamedTuple):
     word_logs: np.ndarray
     grams: dict[str, int]
     gram_logs: np.ndarray
+    #: Tells this model from others.
+    name: str = ""
 
 
 def _logs(rows: list, key: str, langs: list[str], totals: dict[str, int]) -> tuple[dict[str, int], np.ndarray]:
@@ -98,46 +102,78 @@ def train(docs: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
     gram_counts = settle(pieces.groupBy("gram", "lang").agg(F.sum("n").alias("n")), "gram-counts")
     gram_rows = _most_telling(gram_counts, "gram", _totals(gram_counts), grams)
     gram_totals = {r.lang: r.total for r in _totals(gram_counts).collect()}
-    return Model(langs, *_logs(known, "word", langs, by_lang), *_logs(gram_rows, "gram", langs, gram_totals))
+    return Model(langs, *_logs(known, "word", langs, by_lang), *_logs(gram_rows, "gram", langs, gram_totals), uuid.uuid4().hex)
 
 
 # --- prediction ----------------------------------------------------------------------------
+class Grams:
+    """Known n-grams as a tree over their letters, looked up at all places of many words at a time."""
+
+    def __init__(self, model: Model):
+        letters = sorted({ord(c) for g in model.grams for c in g})
+        self.letters = pd.Index(np.array(letters, np.int64))
+        self.width = len(letters) + 1
+        self.logs = model.gram_logs.astype(np.float64)
+        # Of every length: the nodes by (node before, letter), and the n-gram that ends there, if any.
+        self.nodes: list[pd.Index] = []
+        self.rows: list[np.ndarray] = []
+        before = {"": 0}
+        for length in range(1, max(ORDERS) + 1):
+            heads = sorted({g[:length] for g in model.grams if len(g) >= length})
+            keys = [before[h[:-1]] * self.width + int(self.letters.get_loc(ord(h[-1]))) for h in heads]
+            self.nodes.append(pd.Index(np.array(keys, np.int64)))
+            self.rows.append(np.array([model.grams.get(h, -1) for h in heads], np.int64))
+            before = {h: i for i, h in enumerate(heads)}
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Per word the mean over its longest n-grams that are known at all; zeros if none is."""
+        n, width = len(words), self.logs.shape[1]
+        found, open_words = np.zeros((n, width)), np.ones(n, bool)
+        marked = [f"^{w}$" for w in words]
+        sizes = np.fromiter(map(len, marked), np.int64, n)
+        of = np.repeat(np.arange(n), sizes)
+        # Letters left in the word from each place on.
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(of))
+        codes = self.letters.get_indexer(np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.int64))
+        node, at_length = np.zeros(len(of), np.int64), []
+        for length, (nodes, rows) in enumerate(zip(self.nodes, self.rows), 1):
+            here = np.flatnonzero((node >= 0) & (left >= length))
+            here = here[codes[here + length - 1] >= 0]
+            following = nodes.get_indexer(node[here] * self.width + codes[here + length - 1])
+            node = np.full(len(of), -1, np.int64)
+            node[here] = following
+            here = here[following >= 0]
+            known = rows[node[here]]
+            at_length.append((of[here][known >= 0], known[known >= 0]))
+        for length in ORDERS:
+            word, row = at_length[length - 1]
+            word, row = word[open_words[word]], row[open_words[word]]
+            count = np.bincount(word, minlength=n)
+            for k in range(width):
+                found[:, k] += np.bincount(word, weights=self.logs[row, k], minlength=n) / np.maximum(count, 1)
+            open_words &= count == 0
+        return found
+
+
 class Scorer:
     """Scores texts by a model; keeps the log frequencies of unseen words met before."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.grams = Grams(model) if model.langs else None
         self.unseen: dict[str, np.ndarray] = {}
-        self.zero = np.zeros(len(model.langs))
-
-    def _by_grams(self, word: str) -> np.ndarray:
-        """Mean over the longest n-grams that are known at all."""
-        marked = f"^{word}$"
-        for order in ORDERS:
-            found = [self.model.grams.get(marked[i : i + order], -1) for i in range(len(marked) - order + 1)]
-            found = [i for i in found if i >= 0]
-            if found:
-                return self.model.gram_logs[found].mean(0, dtype=np.float64)
-        return self.zero
-
-    def _unseen(self, word: str) -> np.ndarray:
-        known = self.unseen.get(word)
-        if known is None:
-            known = self._by_grams(word)
+
+    def _learn(self, words: set[str]) -> dict[str, np.ndarray]:
+        """Scores of words that the model doesn't hold; short ones are kept."""
+        found = {w: self.unseen[w] for w in words if w in self.unseen}
+        new = [w for w in words if w not in found]
+        if new:
+            scored = dict(zip(new, self.grams.scores(new)))
+            found |= scored
             if len(self.unseen) >= KEPT:
                 self.unseen.clear()
-            if len(word) <= WORD_CHARS:
-                self.unseen[word] = known
-        return known
-
-    def _token(self, token: str) -> np.ndarray | None:
-        """Sum over the words of a token; None if it has no letter."""
-        found = [self._word(w) for w in _WORDS.findall(token)]
-        return np.sum(found, axis=0, dtype=np.float64) if found else None
-
-    def _word(self, word: str) -> np.ndarray:
-        at = self.model.words.get(word)
-        return self._unseen(word) if at is None else self.model.word_logs[at].astype(np.float64)
+            self.unseen |= {w: x for w, x in scored.items() if len(w) <= WORD_CHARS}
+        return found
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """Languages and their posteriors for an Arrow column of texts, all languages being alike before.
@@ -153,12 +189,15 @@ class Scorer:
         at = np.array([self.model.words.get(t, -1) for t in tokens], np.int64)
         if langs:
             logs[at >= 0] = self.model.word_logs[at[at >= 0]]
-        for i in np.flatnonzero(at < 0).tolist():
-            found = self._token(tokens[i])
-            if found is None:
-                letters[i] = False
-            elif langs:
-                logs[i] = found
+        # Tokens that the model doesn't hold as they are: their words, which are the token itself if it is ASCII.
+        others = {i: [tokens[i]] if tokens[i].isascii() and tokens[i] else _WORDS.findall(tokens[i]) for i in np.flatnonzero(at < 0).tolist()}
+        letters[[i for i, words in others.items() if not words]] = False
+        if langs:
+            unseen = self._learn({w for words in others.values() for w in words if w not in self.model.words})
+            for i, words in others.items():
+                for word in words:
+                    row = self.model.words.get(word)
+                    logs[i] += unseen[word] if row is None else self.model.word_logs[row]
         has_letter = np.bincount(texts.doc, weights=letters[numbers], minlength=texts.n) > 0
         if not langs:
             return [UNKNOWN] * texts.n, np.zeros(texts.n)
@@ -169,6 +208,17 @@ class Scorer:
         return [langs[b] if known else UNKNOWN for b, known in zip(best.tolist(), has_letter.tolist())], scores
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer_of(model: Model) -> Scorer:
+    """One scorer per worker, so that a task begins with the words of those before it."""
+    if model.name not in _scorers:
+        _scorers.clear()
+        _scorers[model.name] = Scorer(model)
+    return _scorers[model.name]
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """`(doc_id, held_out, lang_pred, score)` of every row of `docs`.
 
@@ -178,7 +228,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def batches(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = scorer_of(model)
         for batch in blocks(given):
             found, scores = scorer.predict(batch["text"])
             columns = [batch["doc_id"], pa.array(found, pa.string()), pa.array(scores, pa.float64())]
