@@ -229,12 +229,13 @@ SELECT count(*) AS n_docs, count(*) AS first_added, 0::BIGINT AS first_updated,
   count(*) FILTER (type = 'page' AND updated_at > '{WATERMARK}') AS second_seen_page,
   count(*) FILTER (updated_at > '{WATERMARK}') AS second_updated, 0::BIGINT AS second_removed, '{NOW}' AS last_sync_at FROM archive"""),
     "prune": over(LIVE, "SELECT id, status FROM archive WHERE id IN (SELECT id FROM live)"),
-    "stream_archive": over(LANDED, f"SELECT {DOC} FROM landed WHERE type = 'post' UNION ALL SELECT {DOC} FROM pages_doc"),
+    "stream_archive": over(LANDED, f"SELECT {DOC} FROM landed"),
     "stream_postings": posting_rows(LANDED_TOKENS),
     "search_after_feed": over(LANDED_HITS, "SELECT query_id, rank, id, round(score, 6) AS score, snippet FROM hits"),
     "compaction": posting_rows(LANDED_TOKENS),
     "out_of_order_guard": over(LANDED, """
-SELECT l.id, CASE WHEN r.quality IS NULL THEN l.title ELSE 'held' END AS title, CASE WHEN r.quality IS NULL THEN l.updated_at ELSE '9' || l.updated_at END AS updated_at
-FROM landed l JOIN posts_raw r ON l.id = r.id"""),
+SELECT l.id, CASE WHEN newer THEN 'held' ELSE l.title END AS title, CASE WHEN newer THEN '9' || l.updated_at ELSE l.updated_at END AS updated_at
+FROM (SELECT l.*, r.quality IS NOT NULL OR (l.type = 'page' AND right(l.id, 1) IN ('1', '3', '5', '7', '9')) AS newer
+      FROM landed l LEFT JOIN posts_raw r ON l.id = r.id) l"""),
     "stream_search": over(TYPED, "SELECT query_id, rank, id, round(score, 6) AS score FROM hits"),
 }
