@@ -20,7 +20,7 @@ from inkwell.llm.common import on_workers, ragged, slices, table, texts_of
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words, pieces and pairs of tokens whose results a worker keeps, about.
-KEPT = 200_000
+KEPT = 100_000
 #: Longer words and pieces are worked out each time, so that what is kept has a bound in bytes.
 KEPT_CHARS = 64
 #: Stands for the word end; private use, so no byte letter.
