@@ -584,7 +584,7 @@ def watermark_advance(spark, sf_dir):
     first = sync.run_sync(spark, pages, root, SITE, now=WATERMARK)
     second = sync.run_sync(spark, pages, root, SITE, now=NOW)
     state = archive.read_state(spark, f"{root}/state")
-    docs = archive.read_documents(spark, archive.state_value(state, sync.CURRENT))
+    docs = archive.read_archive(spark, root)
     counts = {f"{run}_{k}": v for run, c in (("first", first), ("second", second)) for k, v in c.items()}
     return docs.agg(F.count("*").alias("n_docs")).select(
         "n_docs", *(F.lit(v).cast("long").alias(k) for k, v in counts.items()),
@@ -594,7 +594,7 @@ def watermark_advance(spark, sf_dir):
 
 def _archive_state(spark, root: str, step: str) -> DataFrame:
     state = archive.read_state(spark, f"{root}/state")
-    docs = archive.read_documents(spark, archive.state_value(state, sync.CURRENT))
+    docs = archive.read_archive(spark, root)
     mark = F.lit(archive.state_value(state, archive.LAST_SYNC)).cast("string")
     return docs.agg(F.count("*").alias("n_docs")).select(F.lit(step).alias("step"), "n_docs", mark.alias("last_sync_at"))
 

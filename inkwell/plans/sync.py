@@ -1,4 +1,8 @@
-"""M3-M6: one synchronisation run over landed pages."""
+"""M3-M6: synchronisation runs over landed pages.
+
+The first run writes a snapshot. Every later one appends a segment of what changed and what is gone, so the bytes
+written follow the change; `fold` makes a new snapshot of snapshot and segments once these have grown.
+"""
 
 from __future__ import annotations
 
@@ -13,21 +17,30 @@ from pyspark.sql import functions as F
 from inkwell.functions.fields import DOC_TYPES
 from inkwell.operators.cleaning import normalize_documents
 from inkwell.operators.filters import changed_since
-from inkwell.operators.merging import merge_counts, merge_documents, prune, removed_count
+from inkwell.operators.merging import last_records, merge_counts, merge_documents, prune, removed_count, stale_ids
 from inkwell.operators.reports import type_counts
 from inkwell.session import settle
 from inkwell.sources.api_pages import page_coverage, page_documents, read_ids
 from inkwell.sources.archive import (
-    DOCUMENT_SCHEMA,
+    CURRENT,
     LAST_SYNC,
+    SEGMENT,
+    live_segments,
+    read_archive,
     read_documents,
+    read_segments,
     read_state,
     state_value,
     write_documents,
+    write_segment,
     write_state,
 )
 
-CURRENT = "current_snapshot"
+#: Segments are folded when they hold this share of the snapshot's rows.
+FOLD_SHARE = 0.25
+#: Or when there are this many, since each adds files to every read.
+FOLD_SEGMENTS = 256
+ARRIVAL = ["turn", "page", "item"]
 
 
 class IncompleteLanding(ValueError):
@@ -53,6 +66,9 @@ class SyncPlan:
     documents: DataFrame
     counts: DataFrame
     batch: DataFrame
+    #: The new rows of changed ids, one each, and the ids that a prune deletes.
+    changed: DataFrame
+    gone: DataFrame | None
 
 
 def sync_archive(
@@ -73,34 +89,85 @@ def sync_archive(
     records = normalize_documents(page_documents(pages), site, keep_order=True)
     turn = F.array_position(F.array(*map(F.lit, DOC_TYPES)), F.col("type")).alias("turn")
     batch = settle(plan_sync(records, watermark, full).select("*", turn), "sync-batch")
-    merged = merge_documents(current, batch, ["turn", "page", "item"])
+    merged = merge_documents(current, batch, ARRIVAL)
+    changed = last_records(batch, ARRIVAL)
     counts = merge_counts(current, batch)
     if live_pages is None:
-        return SyncPlan(merged, counts.withColumn("removed", F.lit(0).cast("long")), batch)
+        return SyncPlan(merged, counts.withColumn("removed", F.lit(0).cast("long")), batch, changed, None)
     live = settle(read_ids(page_documents(live_pages)), "live-ids")
     removed = removed_count(merged, live).scalar()
-    return SyncPlan(prune(merged, live), counts.withColumn("removed", removed), batch)
+    return SyncPlan(prune(merged, live), counts.withColumn("removed", removed), batch, prune(changed, live), stale_ids(current, live))
 
 
-def _held(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    state = read_state(spark, f"{root}/state")
-    snapshot = state_value(state, CURRENT)
-    return state, read_documents(spark, snapshot) if snapshot else spark.createDataFrame([], DOCUMENT_SCHEMA)
+def _seq(state: DataFrame) -> int:
+    """A number above all given so far, also where a clock was set back."""
+    named = [*live_segments(state), state_value(state, CURRENT) or "-0"]
+    return max(time.time_ns(), 1 + max(int(n.rpartition("-")[2]) for n in named))
+
 
+def _note(spark: SparkSession, root: str, entries: dict[str, str | None], seq: int) -> None:
+    """One small file, so that all entries count or none does."""
+    write_state(spark.createDataFrame([(k, v, seq) for k, v in entries.items()], "key string, value string, seq long"), f"{root}/state")
 
-def _store(spark: SparkSession, root: str, documents: DataFrame, watermark: str | None) -> None:
-    """A snapshot first, then the state that names it."""
-    seq = time.time_ns()
+
+def _commit(spark: SparkSession, root: str, plan: SyncPlan, counts: dict[str, int], watermark: str | None) -> None:
+    """Documents first, then the state that names them: a snapshot where there is none, else a segment."""
+    state = read_state(spark, f"{root}/state")
+    seq = _seq(state)
+    entries = {LAST_SYNC: watermark} if watermark else {}
+    if not state_value(state, CURRENT):
+        path = f"{root}/snapshot-{seq}"
+        write_documents(plan.documents, path)
+        entries[CURRENT] = path
+    elif any(counts[k] for k in ("added", "updated", "removed")):
+        # The number is padded, so that the order of the keys is that of the segments.
+        path = f"{root}/changes-{seq:020d}"
+        write_segment(plan.changed, plan.gone, path, seq)
+        entries[f"{SEGMENT}{seq:020d}"] = path
+    if entries:
+        _note(spark, root, entries, seq)
+
+
+def fold(spark: SparkSession, root: str) -> bool:
+    """Write a new snapshot of the snapshot and its segments; False where there is nothing to fold.
+
+    The state then names the new snapshot and none of the folded segments, by one write; their files stay for readers
+    that began before.
+    """
+    state = read_state(spark, f"{root}/state")
+    folded = live_segments(state)
+    if not folded:
+        return False
+    seq = _seq(state)
     path = f"{root}/snapshot-{seq}"
-    write_documents(documents, path)
-    entries = [(CURRENT, path, seq)] + ([(LAST_SYNC, watermark, seq)] if watermark else [])
-    write_state(spark.createDataFrame(entries, "key string, value string, seq long"), f"{root}/state")
+    write_documents(read_archive(spark, root), path)
+    _note(spark, root, {CURRENT: path} | dict.fromkeys(folded), seq)
+    return True
+
+
+def fold_if_grown(spark: SparkSession, root: str) -> bool:
+    """`fold` once the segments hold `FOLD_SHARE` of the snapshot's rows or are too many, so a row is rewritten rarely."""
+    state = read_state(spark, f"{root}/state")
+    changes = read_segments(spark, state)
+    if changes is None:
+        return False
+    # Both counts come from the footers of the files.
+    held = read_documents(spark, state_value(state, CURRENT)).count()
+    if len(live_segments(state)) < FOLD_SEGMENTS and changes.count() < FOLD_SHARE * held:
+        return False
+    return fold(spark, root)
 
 
 def _now(now: str | None) -> str:
     return now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
 
 
+def _seen(batch: DataFrame) -> dict[str, int]:
+    """Documents per type."""
+    seen = {r["type"]: r["n_docs"] for r in type_counts(batch).collect()}
+    return {f"seen_{t}": seen[t] for t in DOC_TYPES}
+
+
 def run_sync(
     spark: SparkSession, pages: DataFrame, root: str, site: str,
     full: bool = False, live_pages: DataFrame | None = None, now: str | None = None,
@@ -108,45 +175,55 @@ def run_sync(
     """One stored run below `root`; returns `added`, `updated`, `removed` and the
     documents seen per type.
 
-    The watermark is taken before anything is read and stored only after the snapshot is
-    complete, so a failed run leaves the old archive and the old watermark. A landing or an id
+    The watermark is taken before anything is read and stored by the write that names the new
+    documents, so a failed run leaves the old archive and the old watermark. A landing or an id
     listing with missing pages fails before anything is written.
     """
     started = _now(now)
     require_complete(pages, "landing")
     if live_pages is not None:
         require_complete(live_pages, "id listing")
-    state, current = _held(spark, root)
-    plan = sync_archive(current, pages, site, state_value(state, LAST_SYNC), full, live_pages)
+    mark = state_value(read_state(spark, f"{root}/state"), LAST_SYNC)
+    plan = sync_archive(read_archive(spark, root), pages, site, mark, full, live_pages)
     counts = plan.counts.first().asDict()
-    seen = {r["type"]: r["n_docs"] for r in type_counts(plan.batch).collect()}
-    _store(spark, root, plan.documents, started)
-    return counts | {f"seen_{t}": seen[t] for t in DOC_TYPES}
+    _commit(spark, root, plan, counts, started)
+    fold_if_grown(spark, root)
+    return counts | _seen(plan.batch)
 
 
 def run_page_sets(
-    spark: SparkSession, page_sets: Sequence[DataFrame], root: str, site: str, full: bool = False, now: str | None = None,
+    spark: SparkSession, page_sets: Sequence[DataFrame], root: str, site: str,
+    full: bool = False, live_pages: DataFrame | None = None, now: str | None = None,
 ) -> dict[str, int]:
-    """M5: commit landed page sets one after the other.
+    """M5: commit landed page sets one after the other; returns the sums of what `run_sync` returns.
 
-    Each set is merged and stored before the next one is read, so a set that can't be read leaves
-    those before it in place; the watermark moves only after the last one. Running again repeats
-    the merges and leaves the same archive.
+    Each set is parsed once and appended as a segment before the next one is read, so a set that
+    can't be read leaves those before it in place and the bytes written follow the set. With
+    `live_pages` a prune follows, when all pages of both are known to be there. The watermark moves
+    only at the end. Running again repeats the merges and leaves the same archive. Of an id in
+    several sets the last set decides.
     """
     started = _now(now)
-    totals = {"added": 0, "updated": 0}
-    for pages in page_sets:
-        state, current = _held(spark, root)
-        plan = sync_archive(current, pages, site, state_value(state, LAST_SYNC), full)
+    if live_pages is not None:
+        require_complete(live_pages, "id listing")
+    if not page_sets:
+        raise IncompleteLanding("landing: no page set")
+    mark = state_value(read_state(spark, f"{root}/state"), LAST_SYNC)
+    totals: dict[str, int] = {}
+
+    def commit(pages: DataFrame, live: DataFrame | None, watermark: str | None) -> None:
+        plan = sync_archive(read_archive(spark, root), pages, site, mark, full, live)
         counts = plan.counts.first().asDict()
-        totals = {k: totals[k] + counts[k] for k in totals}
-        _store(spark, root, plan.documents, None)
+        _commit(spark, root, plan, counts, watermark)
+        for k, n in (counts | _seen(plan.batch)).items():
+            totals[k] = totals.get(k, 0) + n
+
     whole = None
     for pages in page_sets:
-        whole = pages if whole is None else whole.unionByName(pages)
-    if whole is None:
-        raise IncompleteLanding("landing: no page set")
+        parsed = settle(pages, "page-set")
+        commit(parsed, None, None)
+        whole = parsed if whole is None else whole.unionByName(parsed)
     require_complete(whole, "landing")
-    state, current = _held(spark, root)
-    _store(spark, root, current, started)
+    commit(whole.limit(0), live_pages, started)
+    fold_if_grown(spark, root)
     return totals

@@ -1,6 +1,7 @@
 """Operators on small hand-made rows."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,8 +208,13 @@ def entry(id, day, **more):
 
 def held(spark, root):
     state = archive.read_state(spark, f"{root}/state")
-    snapshot = archive.state_value(state, sync.CURRENT)
-    return archive.read_documents(spark, snapshot) if snapshot else None, archive.state_value(state, archive.LAST_SYNC)
+    return archive.read_archive(spark, root), archive.state_value(state, archive.LAST_SYNC)
+
+
+def written(root):
+    """Snapshots and segments below a folder, with their files' bytes."""
+    folders = [p for p in Path(root).iterdir() if p.name != "state"]
+    return {p.name: sum(f.stat().st_size for f in p.rglob("*.parquet")) for p in folders}
 
 
 def test_runs_one_after_the_other(spark):
@@ -281,6 +287,59 @@ def test_page_sets_are_committed_one_by_one(spark):
         assert ids(docs) == ["m", "n"] and mark == "2024-02"
 
 
+def test_runs_append_segments_and_fold_them_once(spark, monkeypatch):
+    monkeypatch.setattr(sync, "FOLD_SHARE", 100)
+    root = scratch_path(spark, "sync")
+    run = lambda items, now, **kw: sync.run_sync(spark, landing(spark, items), root, SITE, now=now, **kw)
+    listing = lambda *names: landing(spark, [entry(n, "01-01") for n in names])
+    run([entry(f"k{i}", "01-05", title=f"first {i}", plaintext=f"{i} " * 5000) for i in range(40)], "2024-02")
+    before = written(root)
+    assert [n.startswith("snapshot-") for n in before] == [True]
+    run([entry("k1", "02-05", title="second"), entry("n", "02-05")], "2024-03")
+    pruned = run([entry("k1", "03-05", title="third"), entry("k2", "03-05")], "2024-04", live_pages=listing("k1", "n", "k5"))
+    assert pruned["removed"] == 38 and pruned["updated"] == 2
+    now = written(root)
+    assert all(now[n] == before[n] for n in before)
+    assert len(now) == 3 and max(size for n, size in now.items() if n not in before) < sum(before.values()) / 4
+    titles = lambda: {r["id"]: r["title"] for r in held(spark, root)[0].collect()}
+    want = {"k1": "third", "n": "(untitled)", "k5": "first 5"}
+    assert titles() == want
+    run([entry("k3", "04-05", title="back")], "2024-05")
+    run([], "2024-06")
+    # A run without changes writes its watermark alone.
+    assert len(written(root)) == 4 and titles() == want | {"k3": "back"} and held(spark, root)[1] == "2024-06"
+    assert sync.fold(spark, root) and not sync.fold(spark, root)
+    assert titles() == want | {"k3": "back"} and held(spark, root)[1] == "2024-06"
+    assert archive.live_segments(archive.read_state(spark, f"{root}/state")) == {}
+    monkeypatch.setattr(sync, "FOLD_SHARE", 0.25)
+    run([entry("k3", "06-05", title="again")], "2024-07")
+    assert archive.live_segments(archive.read_state(spark, f"{root}/state")) == {}
+    assert titles() == want | {"k3": "again"}
+
+
+def test_a_segment_that_no_state_names_is_not_read(spark):
+    root = scratch_path(spark, "sync")
+    sync.run_sync(spark, landing(spark, [entry("m", "01-05")]), root, SITE, now="2024-02")
+    archive.write_segment(docs_of(spark, doc("lost")), spark.createDataFrame([("m",)], "id string"), f"{root}/changes-9", 9)
+    assert ids(held(spark, root)[0]) == ["m"]
+
+
+def test_page_sets_count_types_and_prune_at_the_end(spark):
+    root = scratch_path(spark, "sync")
+    one = landing(spark, [entry("m", "01-05"), entry("x", "01-05")], [entry("p", "01-05")], of=2)
+    two = landing(spark, [entry("n", "01-06"), entry("m", "01-07", title="later")], page=2, of=2)
+    live = landing(spark, [entry("m", "01-05"), entry("n", "01-06")], [entry("p", "01-05")])
+    got = sync.run_page_sets(spark, [one, two], root, SITE, live_pages=live, now="2024-02")
+    assert got == {"added": 4, "updated": 1, "removed": 1, "seen_post": 4, "seen_page": 1}
+    docs, mark = held(spark, root)
+    assert {r["id"]: r["title"] for r in docs.collect()} == {"m": "later", "n": "(untitled)", "p": "(untitled)"}
+    assert mark == "2024-02"
+    part = landing(spark, [entry("m", "01-05")], of=2)
+    with pytest.raises(sync.IncompleteLanding):
+        sync.run_page_sets(spark, [one, two], root, SITE, live_pages=part, now="2024-03")
+    assert held(spark, root)[1] == "2024-02"
+
+
 # --- index ------------------------------------------------------------------------------------
 def same_rows(a, b):
     return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
