@@ -651,13 +651,17 @@ def prune(spark, sf_dir):
 
 
 # --- streaming --------------------------------------------------------------------------------
+def _take_in(spark: SparkSession, sf_dir: str, out: str) -> None:
+    for doc_type in ("post", "page"):
+        marks = scratch_path(spark, "feed-marks")
+        feed.stream_archive(spark, f"{landed_for(spark, sf_dir)}/{doc_type}s/*", out, marks, doc_type, SITE).awaitTermination()
+
+
 def fed_for(spark: SparkSession, sf_dir: str) -> str:
     """All landed posts and pages taken in as a stream; returns the folder."""
     def make():
         out = scratch_path(spark, "feed")
-        for doc_type in ("post", "page"):
-            marks = scratch_path(spark, "feed-marks")
-            feed.stream_archive(spark, f"{landed_for(spark, sf_dir)}/{doc_type}s/*", out, marks, doc_type, SITE).awaitTermination()
+        _take_in(spark, sf_dir, out)
         return out
 
     return _once("fed", spark, sf_dir, make)
@@ -699,6 +703,32 @@ def compaction(spark, sf_dir):
     return _posting_rows(index.postings)
 
 
+def pruned_feed_for(spark: SparkSession, sf_dir: str) -> str:
+    """All landed posts and pages taken in, then everything deleted that is no longer live."""
+    def make():
+        out = scratch_path(spark, "feed")
+        _take_in(spark, sf_dir, out)
+        feed.prune_feed(spark, out, _live(spark, sf_dir), _held_index(spark, sf_dir).documents)
+        return out
+
+    return _once("pruned-feed", spark, sf_dir, make)
+
+
+@query
+def search_after_prune(spark, sf_dir):
+    """The search log over a stored index with landed changes and deletions that it doesn't hold yet."""
+    index = feed.live_index(spark, _held_index(spark, sf_dir), pruned_feed_for(spark, sf_dir))
+    hits = searching.search_batch(index, testtables.search_log(spark, sf_dir))
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"), "snippet")
+
+
+@query
+def stream_prune(spark, sf_dir):
+    """The documents left by the feed and its deletions over an archive of four fifths of the posts."""
+    held = testtables.posts(spark, sf_dir).where(F.substring("id", -1, 1) < "8")
+    return _flat(feed.current_documents(spark, pruned_feed_for(spark, sf_dir), held))
+
+
 @query
 def out_of_order_guard(spark, sf_dir):
     """Landed posts and pages over an archive whose posts with a label and pages with an odd number are newer."""

@@ -78,6 +78,8 @@ TEXT_LINES = f"""lpad(CAST(rank AS VARCHAR), greatest(2, length(CAST(rank AS VAR
 MERGED_TOKENS = BATCH.replace("\narchive AS", "\nwhole_archive AS") + f",\narchive AS (SELECT {DOC} FROM merged)," + TOKENS
 LANDED_TOKENS = LANDED.replace("\narchive AS", "\nwhole_archive AS") + f",\narchive AS (SELECT {DOC} FROM landed)," + TOKENS
 LANDED_HITS = LANDED.replace("\narchive AS", "\nwhole_archive AS") + f",\narchive AS (SELECT {DOC} FROM landed)" + FULL[len(ARCHIVE):]
+STILL_LIVE = "id IN (SELECT id FROM posts WHERE status IN ('published', 'sent') UNION SELECT id FROM pages_doc)"
+PRUNED_HITS = LANDED_HITS.replace("FROM landed)", f"FROM landed WHERE {STILL_LIVE})")
 TYPED = FULL.replace("form >= 8 AS prefix_last", "true AS prefix_last")
 
 STATEMENTS: dict[str, str] = {
@@ -232,6 +234,8 @@ SELECT count(*) AS n_docs, count(*) AS first_added, 0::BIGINT AS first_updated,
     "stream_archive": over(LANDED, f"SELECT {DOC} FROM landed"),
     "stream_postings": posting_rows(LANDED_TOKENS),
     "search_after_feed": over(LANDED_HITS, "SELECT query_id, rank, id, round(score, 6) AS score, snippet FROM hits"),
+    "search_after_prune": over(PRUNED_HITS, "SELECT query_id, rank, id, round(score, 6) AS score, snippet FROM hits"),
+    "stream_prune": over(LANDED, f"SELECT {DOC} FROM landed WHERE {STILL_LIVE}"),
     "compaction": posting_rows(LANDED_TOKENS),
     "out_of_order_guard": over(LANDED, """
 SELECT l.id, CASE WHEN newer THEN 'held' ELSE l.title END AS title, CASE WHEN newer THEN '9' || l.updated_at ELSE l.updated_at END AS updated_at

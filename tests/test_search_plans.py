@@ -108,3 +108,45 @@ def test_counts_after_a_feed_are_those_of_the_documents(spark, tmp_path):
     columns = ("term", "stem", "n_docs", "n_title", "stem_docs", "stem_title_docs")
     counts = lambda vocab: sorted(map(tuple, vocab.where("n_docs > 0").select(*columns).collect()))
     assert counts(live.vocab) == counts(built.vocab) != counts(index.vocab)
+
+
+def test_a_feed_forgets_what_is_pruned_and_takes_it_back_later(spark, tmp_path):
+    base = docs_of(spark, *(doc(f"k{i}", title=f"stone {i}", plaintext="running water", updated_at="2024-01") for i in range(6)))
+    index = build_index(spark, base, scratch_path(spark, "held"), 2)
+    landing, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
+    landing.mkdir()
+
+    def land(name, *items):
+        (landing / name).write_text(json.dumps({"posts": [{"title": "moss", "plaintext": "run stones", **i} for i in items]}))
+        feed.stream_archive(spark, str(landing), out, marks, "post", SITE).awaitTermination()
+
+    def held():
+        return {r["id"]: r["title"] for r in feed.current_documents(spark, out, base).collect()}
+
+    def check(want):
+        assert held() == want
+        live = feed.live_index(spark, index, out)
+        built = build_index(spark, feed.current_documents(spark, out, base), scratch_path(spark, "built"), 2)
+        assert (live.n_docs, live.all_tokens) == (built.n_docs, built.all_tokens)
+        columns = ("term", "stem", "n_docs", "n_title", "stem_docs", "stem_title_docs")
+        counts = lambda vocab: sorted(map(tuple, vocab.where("n_docs > 0").select(*columns).collect()))
+        assert counts(live.vocab) == counts(built.vocab)
+        assert sorted(r["id"] for r in live.documents.collect()) == sorted(want)
+        return live
+
+    ids_of = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id string")
+    # Without a segment yet: only the base can lose documents.
+    assert feed.prune_feed(spark, out, ids_of("k0", "k1", "k2", "k3", "k4"), base) == 1
+    land("1.json", {"id": "k0", "updated_at": "2024-02"}, {"id": "n", "updated_at": "2024-02"})
+    assert held() == {"k0": "moss", "n": "moss"} | {f"k{i}": f"stone {i}" for i in range(1, 5)}
+    segments = sorted(p.name for p in tmp_path.glob("out/changes/**/*.parquet"))
+    assert feed.prune_feed(spark, out, ids_of("k1", "k2", "n"), base) == 3
+    assert feed.prune_feed(spark, out, ids_of("k1", "k2", "n"), base) == 0
+    assert segments == sorted(p.name for p in tmp_path.glob("out/changes/**/*.parquet"))
+    check({"k1": "stone 1", "k2": "stone 2", "n": "moss"})
+    # Back in a later segment, though older than the row that the base held.
+    land("2.json", {"id": "k0", "updated_at": "2023"}, {"id": "k5", "updated_at": "2024-03"})
+    live = check({"k0": "moss", "k1": "stone 1", "k2": "stone 2", "k5": "moss", "n": "moss"})
+    folded = feed.compact(spark, index, out, scratch_path(spark, "folded"))
+    assert sorted(r["id"] for r in folded.documents.collect()) == sorted(r["id"] for r in live.documents.collect())
+    assert folded.n_docs == live.n_docs == 5
