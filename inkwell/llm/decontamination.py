@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import on_workers, slices, table, texts_of
+from inkwell.llm.common import on_workers, settle, slices, table, texts_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -23,8 +23,9 @@ SIMILARITY = 0.8
 RADIUS = 20
 #: Blocks of a fingerprint. One of them differs in at most RADIUS // BLOCKS bits if all do in at most RADIUS.
 BLOCKS = 7
-#: Items that are looked for in one pass over the documents; more take more passes.
+#: Items, and bytes of their texts, that are looked for in one pass over the documents; more take more passes.
 PASS_ITEMS = 20_000
+PASS_BYTES = 32 << 20
 KEPT = 400_000
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -95,14 +96,14 @@ class Index:
         self.radius, self.least = radius, least
         self.ids, self.lengths, self.bags, prints = [], [], [], []
         self.by_shingle: dict[int, list[int]] = {}
-        short: dict[int, dict[int, list[tuple[list[bytes], int]]]] = {}
-        for item_id, text in items:
+        short: dict[int, dict[int, list[tuple[list[bytes], int | None, int]]]] = {}
+        for number, (item_id, text) in enumerate(items):
             words = words_of(text)
             if not words:
                 continue
             hashes = hashes_of(words)
             if len(words) < SHINGLE:
-                short.setdefault(len(words), {}).setdefault(int(hashes[0]), []).append((words, item_id))
+                short.setdefault(len(words), {}).setdefault(int(hashes[0]), []).append((words, item_id, number))
                 continue
             for h in set(hashes.tolist()):
                 self.by_shingle.setdefault(h, []).append(len(self.ids))
@@ -142,15 +143,15 @@ class Index:
             found |= self.probed[key]
         return sorted(i for i in found if (int(self.prints[i]) ^ fingerprint).bit_count() <= self.radius)
 
-    def _short_hits(self, words: list[bytes]) -> Iterator[Hit]:
-        """Runs of words that are a whole item of fewer words than a shingle."""
+    def _short_hits(self, words: list[bytes]) -> Iterator[tuple[int, Hit]]:
+        """Runs of words that are a whole item of fewer words than a shingle, with the number of the item."""
         for length, hashes, by_hash in self.short:
             if length <= len(words):
                 runs = hashes_of(words, length)
                 for place in np.flatnonzero(np.isin(runs, hashes)).tolist():
-                    for own, item_id in by_hash[int(runs[place])]:
+                    for own, item_id, number in by_hash[int(runs[place])]:
                         if words[place : place + length] == own:
-                            yield Hit(item_id, place, length, 1.0)
+                            yield number, Hit(item_id, place, length, 1.0)
 
     def search(self, text: str) -> list[Hit]:
         """The best window of each item found in a text: most similar, then first.
@@ -182,12 +183,12 @@ class Index:
                     bag = Counter(shingles_of(words[start : start + size])) if near else None
                     for i in near:
                         alike = similarity(bag, self.bags[i])
-                        if alike >= self.least and (self.ids[i] not in best or alike > best[self.ids[i]].similarity):
-                            best[self.ids[i]] = Hit(self.ids[i], start, size, alike)
-        for hit in self._short_hits(words):
-            if hit.item_id not in best or hit.similarity > best[hit.item_id].similarity:
-                best[hit.item_id] = hit
-        return sorted(best.values(), key=lambda h: (h.item_id is not None, h.item_id or 0))
+                        if alike >= self.least and (i not in best or alike > best[i].similarity):
+                            best[i] = Hit(self.ids[i], start, size, alike)
+        short: dict[int, Hit] = {}
+        for number, hit in self._short_hits(words):
+            short.setdefault(number, hit)
+        return sorted([*best.values(), *short.values()], key=lambda h: (h.item_id is not None, h.item_id or 0, h.first))
 
 
 _indexes: dict[tuple, Index] = {}
@@ -202,10 +203,12 @@ def index_of(items: list[tuple[int, str]]) -> Index:
     return _indexes[key]
 
 
-def item_passes(items: DataFrame, limit: int = PASS_ITEMS) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about `limit`; the driver holds one block at a time."""
+def item_passes(items: DataFrame, limit: int = PASS_ITEMS, size: int = PASS_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """The distinct (item_id, text) in blocks of about `limit` items and `size` bytes, or a longer one alone; the driver
+    collects a block when it is asked for."""
     rows = items.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
-    n = max(1, math.ceil(rows.count() / limit))
+    count, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    n = max(1, math.ceil(count / limit), math.ceil(total / size))
     for block in range(n):
         yield [(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()]
 
@@ -216,7 +219,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     Words end at ASCII white space, and A-Z count as a-z. A window as long as an item (or the whole document,
     if that is shorter) leaks it if its weighted Jaccard similarity of five-word shingles is 0.8 or more; fewer words
     are one shingle. `start` and `end` are characters. Documents and items without words leak nothing; repeated
-    documents give repeated rows, repeated items one; null ids are carried; other columns are ignored; no rows give no
+    documents give repeated rows, repeated items one; different texts of one item_id are items of their own, also where it
+    is null; null ids are carried; other columns are ignored; no rows give no
     rows.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -240,7 +244,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 kinds = [pa.int64()] * 6 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "first_word", "n_words", "start", "end", "similarity"])
 
-        one = on_workers(rows, batches, schema)
+        # Hits are written before the next block is collected, so neither plan nor driver gathers blocks.
+        one = settle(on_workers(rows, batches, schema), "leaks")
         found = one if found is None else found.unionByName(one)
     return found
 

@@ -21,12 +21,11 @@ def normalised(text: Column) -> Column:
 
 
 def key_rows(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """`(doc_id, n_chars, hash, text_sha256)` of every row, and `row` if a row key is named."""
+    """`(doc_id, hash, text_sha256)` of every row, and `row` if a row key is named."""
     own = [F.col(row).alias("row")] if row else []
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.char_length(text).alias("n_chars"), normalised(text).alias("norm"), *own)
+    rows = docs.select(F.col("doc_id").cast("long"), normalised(F.col("text")).alias("norm"), *own)
     key = [F.xxhash64("norm").alias("hash"), F.sha2("norm", 256).alias("text_sha256")]
-    return rows.select("doc_id", "n_chars", *key, *(["row"] if row else []))
+    return rows.select("doc_id", *key, *(["row"] if row else []))
 
 
 def _slot(depth: int) -> Column:
@@ -56,19 +55,26 @@ def directory(hashes: DataFrame, capacity: int = CAPACITY) -> tuple[int, DataFra
     return depth, own.select("slot", "depth", F.expr(f"shiftleft(shiftrightunsigned(slot, {depth} - depth), {depth} - depth)").alias("bucket"))
 
 
-def build_index(docs: DataFrame, keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Index files `(bucket, hash, text_sha256, copies)`, one entry per distinct text, written by key range.
+def build_index(docs: DataFrame, keys: DataFrame, capacity: int = CAPACITY, row: str | None = None) -> DataFrame:
+    """Index files `(bucket, hash, text_sha256, copies, keep_id)`, one entry per distinct text, written by key range;
+    with `row` also `keep_row`.
 
     Equal texts meet by hash and byte comparison of the whole normalised text, pre-aggregated before the shuffle, so
-    a text with any number of copies is one entry. Owners of key ranges write their buckets in hash order.
+    a text with any number of copies is one entry; the entry names the row that stays. Owners of key ranges write their
+    buckets in hash order.
     """
     depth, slots = directory(keys.select("hash").distinct(), capacity)
     slots = settle(slots, "directory")
-    texts = docs.select(normalised(F.col("text")).alias("norm")).select(F.xxhash64("norm").alias("hash"), "norm")
-    entries = texts.groupBy("hash", "norm").agg(F.count("*").alias("copies"))
-    entries = entries.select("hash", F.sha2("norm", 256).alias("text_sha256"), "copies", _slot(depth).alias("slot"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # The bitwise complement turns the order of the ids round without overflow; nulls come last.
+    rank = [F.char_length(text).alias("n_chars"), F.bitwise_not(F.col("doc_id").cast("long")).alias("turned")]
+    rank += [F.bitwise_not(F.col(row)).alias("turned_row")] if row else []
+    texts = docs.select(normalised(F.col("text")).alias("norm"), F.struct(*rank).alias("rank")).select(F.xxhash64("norm").alias("hash"), "norm", "rank")
+    entries = texts.groupBy("hash", "norm").agg(F.count("*").alias("copies"), F.max("rank").alias("best"))
+    kept = [F.bitwise_not("best.turned").alias("keep_id")] + ([F.bitwise_not("best.turned_row").alias("keep_row")] if row else [])
+    entries = entries.select("hash", F.sha2("norm", 256).alias("text_sha256"), "copies", *kept, _slot(depth).alias("slot"))
     owners = max(1, math.ceil(slots.select("bucket").distinct().count() / BUCKETS_PER_OWNER))
-    placed = entries.join(slots, "slot").select("bucket", "hash", "text_sha256", "copies")
+    placed = entries.join(slots, "slot").drop("slot", "depth")
     return settle(placed.repartitionByRange(owners, "bucket", "hash").sortWithinPartitions("bucket", "hash"), "hash-index")
 
 
@@ -77,33 +83,28 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY, row: str | None
 
     Texts are equal when identical without ASCII white space; null, empty and blank texts form one group. Of a group
     the row with the most characters, then the smallest doc_id stays. Different texts with one hash are chained: each
-    has its own `chain` number in the bucket. Rows that repeat a doc_id with the same text share one decision. A null
-    doc_id loses against any other; in a group of such rows only, keep_id is null and all stay. Other columns are
-    ignored; no rows give no rows.
+    has its own `chain` number in the bucket. Every row takes its answer from its entry in the index. Rows that repeat
+    a doc_id with the same text share one decision. A null doc_id loses against any other; in a group of such rows
+    only, keep_id is null and all stay. Other columns are ignored; no rows give no rows.
 
     With `row`, a column of unique whole numbers, `row` is returned too and exactly one row of each group is kept: of
     rows alike in characters and doc_id, null included, the one with the least number.
     """
     keys = settle(key_rows(docs, row), "keys")
-    index = build_index(docs, keys, capacity)
+    index = build_index(docs, keys, capacity, row)
     order = Window.partitionBy("bucket", "hash").orderBy("text_sha256")
-    chained = index.withColumn("chain", F.row_number().over(order) - 1)
-    # The bitwise complement turns the order of the ids round without overflow; nulls come last.
-    last = [F.bitwise_not("row").alias("turned_row")] if row else []
-    best = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("turned"), *last))
-    groups = keys.groupBy("hash", "text_sha256").agg(F.count("*").alias("n"), best.alias("best"))
-    # Byte comparison and digest must agree on every group.
-    sound = F.assert_true(F.col("n") == F.col("copies"), F.lit("different texts have equal SHA-256 digests"))
-    groups = groups.join(chained, ["hash", "text_sha256"]).select(
-        "hash", "text_sha256", "bucket", "chain",
-        F.bitwise_not(F.col("best.turned")).alias("keep_id"),
-        F.when(sound.isNull(), F.col("n")).alias("group_size"),
-        *([F.bitwise_not(F.col("best.turned_row")).alias("keep_row")] if row else []),
+    # Rows find their entry by hash and digest; entries of different bytes must not share both.
+    differs = F.coalesce(F.lag("text_sha256").over(order) != F.col("text_sha256"), F.lit(True))
+    chained = index.withColumns({"chain": F.row_number().over(order) - 1, "differs": differs})
+    sound = F.assert_true(F.col("differs"), F.lit("different texts have equal SHA-256 digests"))
+    entries = chained.select(
+        "hash", "text_sha256", "bucket", "chain", "keep_id", F.when(sound.isNull(), F.col("copies")).alias("group_size"),
+        *(["keep_row"] if row else []),
     )
     # Written first, so that both sides of the join are dealt out by it and a hot group can be split.
-    groups = settle(groups, "groups")
+    entries = settle(entries, "entries")
     kept = F.col("row") == F.col("keep_row") if row else F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return keys.join(groups, ["hash", "text_sha256"]).select(
+    return keys.join(entries, ["hash", "text_sha256"]).select(
         "doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "bucket", "chain", *(["row"] if row else []),
     )
 

@@ -142,6 +142,20 @@ def test_items_in_several_passes(spark, sf_dir):
     assert len(blocks) > 3 and Counter(i for b in blocks for i, _ in b) == {r.item_id: 1 for r in items.collect()}
 
 
+def test_blocks_do_not_change_the_hits(spark, monkeypatch):
+    """Items that share an id, or have none, are found each, in one block or in many."""
+    texts = ["red oak leaves fall on the quiet mill pond", "green elm roots reach below the old stone wall", "amber", "two birches"]
+    items = spark.createDataFrame([(i, t) for i in (None, 5) for t in texts], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " and ".join(texts)), (2, texts[1]), (None, "amber amber")], "doc_id long, text string")
+    found = lambda: Counter((r.doc_id, r.item_id, r.first_word, r.n_words) for r in leaks.leaks(docs, items).collect())
+    whole = found()
+    assert sum(n for (d, *_), n in whole.items() if d == 1) == 8 and sum(whole.values()) == 12
+    size = len(list(leaks.item_passes(items, size=60)))
+    assert size > 2
+    monkeypatch.setattr(leaks.item_passes, "__defaults__", (1, 60))
+    assert found() == whole
+
+
 @pytest.mark.parametrize("radius", [0, 6, 20])
 def test_lookup_finds_all_within_the_radius(radius):
     import random
