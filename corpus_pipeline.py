@@ -40,7 +40,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold an item of the benchmark."""
-    for block in decontamination.item_passes(table(spark, sf_dir, "benchmark")):
+    for number, block in enumerate(decontamination.item_passes(table(spark, sf_dir, "benchmark"))):
+        # Written between passes, so that a plan holds one block.
+        docs = settle(docs, "clean") if number else docs
 
         def clean(texts, block=block):
             index = decontamination.index_of(block)
