@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from array import array
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from inkwell.llm.common import on_workers, ragged, slices, table, texts_of
+from inkwell.llm.common import held, on_workers, ragged, slices, table, texts_of
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 #: Words, pieces and pairs of tokens whose results a worker keeps, about.
@@ -229,15 +228,18 @@ class Decoder:
         return " ".join(filter(None, map(self.text.get, ids)))
 
 
-@functools.cache
 def encoder(path: str) -> PrefixEncoder:
     """One encoder per worker and vocabulary."""
-    return PrefixEncoder(path)
+    return held(("bpe", path), lambda: PrefixEncoder(path))
 
 
-@functools.cache
 def decoder(path: str) -> Decoder:
-    return Decoder(path)
+    return held(("bpe tokens", path), lambda: Decoder(path))
+
+
+def codec(path: str) -> tuple[PrefixEncoder, Decoder]:
+    """Both directions, kept together."""
+    return held(("bpe codec", path), lambda: (PrefixEncoder(path), Decoder(path)))
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -273,7 +275,7 @@ def recode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """`decode(encode(docs))` in one pass."""
 
     def batches(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there, back = encoder(path), decoder(path)
+        there, back = codec(path)
         for batch in slices(given):
             ids = [there.encode(t) for t in texts_of(batch["text"])]
             texts = pa.array([back.decode(x.tolist()) for x in ids], pa.string())

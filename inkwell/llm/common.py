@@ -47,6 +47,27 @@ def on_workers_pandas(df: DataFrame, batches, schema) -> DataFrame:
     return df.mapInPandas(batches, schema)
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What `make` gives, kept by this worker until another operator keeps something under another key.
+
+    Workers serve one stage after another, so what an earlier one kept must not stay beside that of the next.
+    """
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Nothing is kept any more; for stages that keep nothing themselves."""
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def fold(modulus: int) -> Column:
     """crc32 of the id as text, modulo; a missing id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

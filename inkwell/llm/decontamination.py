@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import on_workers, settle, slices, table, texts_of
+from inkwell.llm.common import held, on_workers, settle, slices, table, texts_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -27,19 +27,29 @@ BLOCKS = 7
 PASS_ITEMS = 20_000
 PASS_BYTES = 32 << 20
 KEPT = 400_000
+#: Longer words are hashed each time, so that what is kept has a bound in bytes.
+KEPT_BYTES = 64
 
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _EDGES = [64 * b // BLOCKS for b in range(BLOCKS + 1)]
 _FILTER_BITS = 20
-_known: dict[bytes, int] = {}
 
 
 def _code(word: bytes) -> int:
-    if len(_known) >= KEPT:
-        _known.clear()
-    _known[word] = code = zlib.crc32(word) | zlib.crc32(word[::-1] + b"#") << 32
-    return code
+    return zlib.crc32(word) | zlib.crc32(word[::-1] + b"#") << 32
+
+
+class Codes(dict):
+    """Codes of words; short ones are kept, KEPT at most."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = _code(word)
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT:
+                self.clear()
+            self[word] = code
+        return code
 
 
 def words_of(text: str) -> list[bytes]:
@@ -52,11 +62,9 @@ def shingles_of(words: list[bytes]) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))] if words else []
 
 
-def hashes_of(words: list[bytes], run: int = SHINGLE) -> np.ndarray:
+def hashes_of(words: list[bytes], known: Codes, run: int = SHINGLE) -> np.ndarray:
     """A 64-bit hash of each run of `run` words, SHINGLE at most; of all words if they are fewer."""
-    for word in set(words).difference(_known):
-        _code(word)
-    codes = np.fromiter((_known.get(w) or _code(w) for w in words), np.uint64, len(words))
+    codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(min(1, len(words)), len(words) - run + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(n, np.uint64)
@@ -93,7 +101,7 @@ class Index:
     shingle by these words."""
 
     def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, least: float = SIMILARITY):
-        self.radius, self.least = radius, least
+        self.radius, self.least, self.codes = radius, least, Codes()
         self.ids, self.lengths, self.bags, prints = [], [], [], []
         self.by_shingle: dict[int, list[int]] = {}
         short: dict[int, dict[int, list[tuple[list[bytes], int | None, int]]]] = {}
@@ -101,7 +109,7 @@ class Index:
             words = words_of(text)
             if not words:
                 continue
-            hashes = hashes_of(words)
+            hashes = hashes_of(words, self.codes)
             if len(words) < SHINGLE:
                 short.setdefault(len(words), {}).setdefault(int(hashes[0]), []).append((words, item_id, number))
                 continue
@@ -147,7 +155,7 @@ class Index:
         """Runs of words that are a whole item of fewer words than a shingle, with the number of the item."""
         for length, hashes, by_hash in self.short:
             if length <= len(words):
-                runs = hashes_of(words, length)
+                runs = hashes_of(words, self.codes, length)
                 for place in np.flatnonzero(np.isin(runs, hashes)).tolist():
                     for own, item_id, number in by_hash[int(runs[place])]:
                         if words[place : place + length] == own:
@@ -162,7 +170,7 @@ class Index:
         words = words_of(text)
         if not words:
             return []
-        hashes = hashes_of(words)
+        hashes = hashes_of(words, self.codes)
         places = np.flatnonzero(self.maybe[hashes >> np.uint64(64 - _FILTER_BITS)])
         around: dict[int, set[int]] = {}
         for place in places.tolist():
@@ -191,16 +199,9 @@ class Index:
         return sorted([*best.values(), *short.values()], key=lambda h: (h.item_id is not None, h.item_id or 0, h.first))
 
 
-_indexes: dict[tuple, Index] = {}
-
-
 def index_of(items: list[tuple[int, str]]) -> Index:
     """The index of a block; a worker keeps the last one."""
-    key = tuple(items)
-    if key not in _indexes:
-        _indexes.clear()
-        _indexes[key] = Index(items)
-    return _indexes[key]
+    return held(("items", *items), lambda: Index(items))
 
 
 def item_passes(items: DataFrame, limit: int = PASS_ITEMS, size: int = PASS_BYTES) -> Iterator[list[tuple[int, str]]]:
