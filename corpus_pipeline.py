@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, decontamination, exactdedup, quality, simhash
-from inkwell.llm.common import kept_by_text, settle, table
+from inkwell.llm.common import kept_by_text, release, settle, table
 
 
 def _one_of_each(docs: DataFrame, decide) -> DataFrame:
@@ -25,7 +25,12 @@ def _one_of_each(docs: DataFrame, decide) -> DataFrame:
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return kept_by_text(docs, lambda texts: [s >= quality.THRESHOLD for s in model.scores(texts)])
+
+    def good(texts):
+        release()
+        return [s >= quality.THRESHOLD for s in model.scores(texts)]
+
+    return kept_by_text(docs, good)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
