@@ -94,10 +94,15 @@ def ragged(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int) -> list[tuple[str, int]]:
-    """Texts and labels of at most `rows` documents outside the held-out fold, drawn by a hash of the id.
+#: Bytes of labelled texts that a model is fitted on, at most.
+FIT_BYTES = 64 << 20
 
-    The labels are cut to `rows` ids before they meet the documents; an id that repeats counts once.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows: int, size: int = FIT_BYTES) -> list[tuple[str, int]]:
+    """Whole texts and labels of at most `rows` documents and `size` bytes outside the held-out fold, drawn by a hash of the id.
+
+    The labels are cut to `rows` ids before they meet the documents; an id that repeats counts once. In the order of the
+    hash, a text that doesn't fit into the bytes that are left is passed over.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
@@ -108,6 +113,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # At most `rows` ids are broadcast.
     met = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
+    met = settle(met, "labelled")
+    sizes = met.select(F.xxhash64("doc_id").alias("place"), "doc_id", F.octet_length("text").alias("size")).collect()
+    fitting = []
+    for r in sorted(sizes):
+        if r.size <= size:
+            size -= r.size
+            fitting.append((r.doc_id,))
+    if len(fitting) < len(sizes):
+        met = met.join(F.broadcast(met.sparkSession.createDataFrame(fitting, "doc_id long")), "doc_id")
     return [(r.text, r.label) for r in sorted(met.collect(), key=lambda r: r.doc_id)]
 
 

@@ -18,7 +18,8 @@ FIT_ROWS = 6000
 MODULUS, HELD, THRESHOLD = 3, 1, 0.7
 SPACE_BITS = 20
 STEM = 4
-KEPT = 400_000
+#: Words whose hashes a worker keeps, at most, and the letters of such a word.
+KEPT, KEPT_CHARS = 400_000, 64
 
 _WORDS = re.compile(r"[^\W_]+")
 _MASK = np.uint64((1 << SPACE_BITS) - 1)
@@ -29,9 +30,10 @@ _known: dict[str, int] = {}
 def _codes(word: str) -> int:
     """Hash of a word and, above it, of its stem."""
     code = zlib.crc32(word.encode()) | zlib.crc32(b"^" + word[:STEM].encode()) << 32
-    if len(_known) >= KEPT:
-        _known.clear()
-    _known[word] = code
+    if len(word) <= KEPT_CHARS:
+        if len(_known) >= KEPT:
+            _known.clear()
+        _known[word] = code
     return code
 
 

@@ -98,6 +98,37 @@ def test_training_ignores_held_out_and_repeated_labels(spark, nasty):
     assert len(rows) == sum(not held(i, 5, 0) for i in (2, 4, 5, 6, 7, 8, 9)) and {y for _, y in rows} == {1}
     assert len(labelled_sample(nasty, labels, "quality", 5, 0, 3)) == 3
     assert len(labelled_sample(nasty, labels, "toxic", 5, 0, 100)) == int(not held(10, 5, 0))
+    texts = sorted(t for t, _ in rows)
+    assert max(map(len, texts)) < 200 < sum(map(len, texts))
+    fitting = [t for t, _ in labelled_sample(nasty, labels, "quality", 5, 0, 100, 200)]
+    left = list(texts)
+    for t in fitting:
+        left.remove(t)  # whole texts only
+    room = 200 - sum(len(t.encode()) for t in fitting)
+    assert room >= 0 and left and all(len(t.encode()) > room for t in left)
+    assert labelled_sample(nasty, labels, "quality", 5, 0, 100, 0) == [(t, 1) for t in texts if not t]
+
+
+def test_long_words_are_not_kept():
+    from inkwell.llm import decontamination
+
+    known = decontamination.Codes()
+    words = [b"short", b"x" * 10_000, b"y" * decontamination.KEPT_BYTES]
+    assert [known[w] for w in words] == [known[w] for w in words] == [decontamination._code(w) for w in words]
+    assert set(known) == {words[0], words[2]}
+    toxicity.features("short " + "z" * 10_000)
+    assert max(map(len, toxicity._known)) <= toxicity.KEPT_CHARS
+
+
+def test_a_worker_keeps_one_operators_tables():
+    from inkwell.llm import common
+
+    made = []
+    for key in ("a", "a", "b", "a"):
+        assert common.held(key, lambda key=key: made.append(key) or key) == key
+    assert made == ["a", "b", "a"]
+    common.release()
+    assert common._held == {}
 
 
 def test_language(spark):
