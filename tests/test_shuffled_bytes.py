@@ -7,6 +7,7 @@ from inkwell.operators import indexing, matching
 from inkwell.plans import search as searching
 from inkwell.plans.index import build_index
 from inkwell.session import scratch_path
+from inkwell.sources import testtables
 
 
 @pytest.fixture
@@ -50,3 +51,9 @@ def test_postings_stay_where_they_are_for_few_terms(spark, stones, no_broadcasts
     # Every clause has one number.
     assert dict(log.clauses.dtypes)["clause_key"] == "bigint"
     assert names.count() == names.select("number").distinct().count() == log.clauses.select("clause_key").distinct().count()
+
+
+def test_landing_reads_its_tables_once(spark, sf_dir, no_broadcasts):
+    posts, pages = testtables.raw_json_posts(spark, sf_dir), testtables.raw_json_pages(spark, sf_dir)
+    assert plan_of(posts).count("SortMergeJoin") == 1 and "Join" not in plan_of(pages)
+    assert posts.count() == testtables.posts(spark, sf_dir).count() and pages.count() == testtables.pages(spark, sf_dir).count()
