@@ -1,6 +1,7 @@
 """What plans shuffle: narrow rows of matches, bodies but not their words, and no table for the sake of itself."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_operators import doc, docs_of
 
 from inkwell.operators import indexing, matching
@@ -57,3 +58,9 @@ def test_landing_reads_its_tables_once(spark, sf_dir, no_broadcasts):
     posts, pages = testtables.raw_json_posts(spark, sf_dir), testtables.raw_json_pages(spark, sf_dir)
     assert plan_of(posts).count("SortMergeJoin") == 1 and "Join" not in plan_of(pages)
     assert posts.count() == testtables.posts(spark, sf_dir).count() and pages.count() == testtables.pages(spark, sf_dir).count()
+
+
+def test_tokens_come_from_one_scan(spark, stones):
+    tokens = indexing.tokenize(stones.documents)
+    assert plan_of(tokens).count("FileScan") == 1
+    assert tokens.where("id = 'k1'").groupBy("col").agg(F.count("*").alias("n")).where("n > 0").collect()
