@@ -29,7 +29,6 @@ _END = "\ue000"
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: ASCII that stands for itself as a byte letter; control characters do not.
-_PRINTABLE = re.compile("[!-~]*")
 _PLAIN = re.compile("[^\x1c-\x1f\u0250-\U0010ffff]*")
 _ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 #: Characters that Python takes for white space and the pre-tokenizer does not.
@@ -187,9 +186,11 @@ class PrefixEncoder:
         return found[::-1]
 
     def _words(self, chunk: str) -> list[str]:
+        if chunk.isascii() and chunk.isprintable():
+            # Letters alone are one word.
+            low = chunk.lower()
+            return [low] if low.isalpha() else _ASCII_WORDS.findall(low)
         if _PLAIN.fullmatch(chunk):
-            if _PRINTABLE.fullmatch(chunk):
-                return _ASCII_WORDS.findall(chunk.lower())
             words = _WORDS.findall(chunk.lower())
             return [w.encode().decode("latin-1").translate(self.letters) for w in words]
         normal = self.library.normalizer.normalize_str(chunk)
@@ -199,7 +200,10 @@ class PrefixEncoder:
         return array("i", self.encode_word(word)).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self.words.new.get(w) or self.words.find(w, self._word) for w in self._words(chunk)])
+        words = self._words(chunk)
+        if len(words) == 1:
+            return self.words.new.get(words[0]) or self.words.find(words[0], self._word)
+        return b"".join([self.words.new.get(w) or self.words.find(w, self._word) for w in words])
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text."""
