@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.session import settle  # noqa: F401  the operators take it from here
+from inkwell.session import _ship, on_workers, settle  # noqa: F401  the operators take them from here
 
 #: ASCII white space, as byte strings split it and as the contracts name it.
 WHITE = r"[\x20\x09-\x0D]"
@@ -22,25 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_shipped: set[str] = set()
-
-
-def _ship(spark: SparkSession) -> None:
-    """Put this package on the workers' path, sent once per application as a Python archive."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).parents[1]
-        name = Path(tempfile.mkdtemp()) / f"{package.name}-{context.applicationId}"
-        context.addPyFile(shutil.make_archive(str(name), "zip", package.parent, package.name))
-        _shipped.add(context.applicationId)
-
-
-def on_workers(df: DataFrame, batches, schema) -> DataFrame:
-    """`mapInArrow` with this package on the workers' path."""
-    _ship(df.sparkSession)
-    return df.mapInArrow(batches, schema)
-
-
 def on_workers_pandas(df: DataFrame, batches, schema) -> DataFrame:
     """`mapInPandas` with this package on the workers' path."""
     _ship(df.sparkSession)
