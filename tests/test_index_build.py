@@ -5,7 +5,7 @@ from test_operators import doc, docs_of
 
 from inkwell.functions import text
 from inkwell.operators import indexing
-from inkwell.plans.index import build_index
+from inkwell.plans.index import build_index, update_index
 from inkwell.session import scratch_path
 
 
@@ -49,3 +49,29 @@ def test_grouping_does_not_depend_on_the_batch(spark, monkeypatch):
     assert {(r.id, r.col, r.term): r.n for r in tokens.collect()} == {
         (r.id, r.col, r.term): r.n for r in indexing.build_postings(docs).groupBy("id", "col", "term").agg(F.sum("n_places").alias("n")).collect()
     }
+
+
+def test_postings_meet_the_shorter_list_of_ids(spark, monkeypatch):
+    """Where most documents changed, the ids that stay meet the postings, not those that go."""
+    held = docs_of(spark, *(doc(f"k{i}", title="stone", plaintext="old quarry") for i in range(6)))
+    index = build_index(spark, held, scratch_path(spark, "i"), 2)
+    change = lambda *ids: docs_of(spark, *(doc(i, title="moss", plaintext="new") for i in ids))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    frame, plans = type(held), []
+    sort = frame.sortWithinPartitions
+
+    def noted(self, *by):
+        if "positions" in self.columns:
+            plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return sort(self, *by)
+
+    monkeypatch.setattr(frame, "sortWithinPartitions", noted)
+    try:
+        most = update_index(spark, index, change("k0", "k1", "k2", "k3", "n"), scratch_path(spark, "i"))
+        few = update_index(spark, index, change("k0"), scratch_path(spark, "i"), spark.createDataFrame([("k1",)], "id string"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftSemi" in plans[0] and "LeftAnti" in plans[1] and not [p for p in plans if "SortMergeJoin" in p]
+    titles = lambda i: {r.id: r.term for r in i.postings.where("col = 'title'").collect()}
+    assert titles(most) == {"k0": "moss", "k1": "moss", "k2": "moss", "k3": "moss", "n": "moss", "k4": "stone", "k5": "stone"}
+    assert titles(few) == {"k0": "moss", "k2": "stone", "k3": "stone", "k4": "stone", "k5": "stone"}
