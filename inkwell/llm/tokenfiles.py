@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -29,7 +30,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 #: Ids of a file, about; a document is never cut.
 FILE_IDS = 1 << 23
-#: Pieces of text whose ids a worker keeps, and as many older ones; the longest one kept.
+#: Pieces of text whose ids a worker keeps, at most as many again until it drops those met longest ago; the longest one kept.
 KEPT, KEPT_CHARS = 400_000, 64
 
 MAGIC = b"DAC1"
@@ -37,12 +38,57 @@ MAGIC = b"DAC1"
 RANK_BITS = 512
 
 # --- encoding ------------------------------------------------------------------------------
-#: Marks a word whose ids depend on the white space around it; no id list looks like it.
-ODD = b"odd"
+#: Size of a word whose ids depend on the white space around it.
+ODD = -1
 #: Borders that pre-tokens never cross: before a single space between two other characters.
 _BORDER = re.compile(r"(?<=\S)(?= \S)")
 
 
+class Words:
+    """Words with their ids as arrays: where those of each begin, how many there are, and when it was met last."""
+
+    def __init__(self):
+        self.words = pa.array([], pa.large_string())
+        self.ids = np.zeros(0, "<u4")
+        self.starts, self.sizes, self.met = (np.zeros(0, np.int64) for _ in range(3))
+        self.turn = 0
+
+    def places(self, words: pa.Array, learn) -> np.ndarray:
+        """Where different words stand here; `learn` gives sizes and ids of those that don't yet, which are put last, long ones after all others."""
+        self.turn += 1
+        at = pc.index_in(words, value_set=self.words)
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        self.met[at[known]] = self.turn
+        new = np.flatnonzero(~known)
+        new = new[np.argsort(pc.utf8_length(words.take(pa.array(new))).to_numpy() > KEPT_CHARS, kind="stable")]
+        at[new] = len(self.words) + np.arange(len(new))
+        added = words.take(pa.array(new))
+        sizes, ids = learn(added.to_numpy(zero_copy_only=False).tolist())
+        ends = np.cumsum(np.maximum(sizes, 0))
+        self.starts = np.concatenate([self.starts, len(self.ids) + ends - np.maximum(sizes, 0)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.met = np.concatenate([self.met, np.full(len(new), self.turn)])
+        self.ids = np.concatenate([self.ids, ids])
+        self.words = pa.concat_arrays([self.words, added])
+        return at
+
+    def trim(self) -> None:
+        """Drop long words, which stand last, and if there are too many those that were met longest ago."""
+        long = pc.utf8_length(self.words).to_numpy() > KEPT_CHARS
+        n = len(long) - int(long.sum())
+        if n <= 2 * KEPT:
+            if n < len(long):
+                self.ids = self.ids[: self.starts[n]]
+                self.words, self.starts, self.sizes, self.met = self.words[:n], self.starts[:n], self.sizes[:n], self.met[:n]
+            return
+        stay = np.sort(np.argsort(-self.met[:n], kind="stable")[:KEPT])
+        n_ids = np.maximum(self.sizes[stay], 0)
+        starts = np.cumsum(n_ids) - n_ids
+        self.ids = self.ids[np.repeat(self.starts[stay] - starts, n_ids) + np.arange(n_ids.sum())]
+        self.words, self.starts, self.sizes, self.met = self.words.take(pa.array(stay)), starts, self.sizes[stay], self.met[stay]
+
+
 class PieceEncoder:
     """Encodes with the library, piece by piece between single spaces, and keeps the ids of pieces met before."""
 
@@ -53,25 +99,24 @@ class PieceEncoder:
             self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         (space,) = [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(" ")]
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith(space) for i in range(self.library.get_vocab_size())])
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Words()
         self.whole: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Note the ids of words with the space before them; ODD if one lies next to other white space."""
-        plain = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        if len(plain) < len(words):
-            self.known |= dict.fromkeys(words, ODD)
-        if plain:
-            # In one text, since single calls cost more; each word's ids begin with one that has its space.
-            (ids,) = self._encode([" " + " ".join(plain)])
-            places = (4 * np.flatnonzero(self.spaced[ids])).tolist()
-            assert len(places) == len(plain)
-            data = ids.tobytes()
-            self.known |= zip(plain, map(data.__getitem__, map(slice, places, [*places[1:], None])))
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has with the space before it, ODD if it lies next to other white space; all these ids."""
+        sizes = np.full(len(words), ODD)
+        plain = [bool(w) and not w[0].isspace() and not w[-1].isspace() for w in words]
+        if not any(plain):
+            return sizes, np.zeros(0, "<u4")
+        # In one text, since single calls cost more; each word's ids begin with one that has its space.
+        (ids,) = self._encode([" " + " ".join(itertools.compress(words, plain))])
+        places = np.flatnonzero(self.spaced[ids])
+        assert len(places) == sum(plain)
+        sizes[plain] = np.diff(places, append=len(ids))
+        return sizes, ids
 
     def _by_border(self, text: str) -> bytes:
         pieces = _BORDER.split(text)
@@ -85,20 +130,6 @@ class PieceEncoder:
             self.whole.clear()
         return found
 
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        """Ids of words after a space, ODD among them."""
-        if len(self.known) > KEPT:
-            self.older, self.known = self.known, {}
-        missing = [w for w in words if w not in self.known]
-        again = [w for w in missing if w in self.older]
-        self.known |= zip(again, map(self.older.__getitem__, again))
-        self._learn([w for w in missing if w not in self.older])
-        found = list(map(self.known.__getitem__, words))
-        for word in missing:
-            if len(word) > KEPT_CHARS:
-                del self.known[word]
-        return found
-
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of an Arrow column, one after the other, and how many each text has.
 
@@ -111,8 +142,9 @@ class PieceEncoder:
         first[parts.base[:-1]] = True
         # Pieces after a space.
         numbers, words = parts.different(~first)
-        ids = self._ids_of(words)
-        odd = np.array([x is ODD for x in ids] or [False])
+        known = self.known
+        places = known.places(words, self._learn)
+        odd = known.sizes[places] == ODD
         # Texts that are not simply the sum of their pieces: with special tokens, or with a word beside other white space.
         special = np.zeros(len(texts), bool)
         for mark in self.special:
@@ -120,6 +152,7 @@ class PieceEncoder:
         whole = np.zeros(len(texts), bool)
         whole[parts.doc[~first][odd[numbers]]] = True
         head_numbers, heads = parts.different(first)
+        heads = heads.to_numpy(zero_copy_only=False).tolist()
         loose = np.array([h[-1:].isspace() for h in heads] or [False])
         whole |= loose[head_numbers] & (np.diff(parts.base) > 1)
         alone = np.flatnonzero(whole | special)
@@ -128,16 +161,17 @@ class PieceEncoder:
         ]
         used = np.zeros(len(heads), bool)
         used[head_numbers[~(whole | special)]] = True
-        entries = [*(b"" if x is ODD else x for x in ids), *(self._by_border(h) if u else b"" for h, u in zip(heads, used)), *own, b""]
-        at = np.zeros(len(parts.starts), np.int64)
-        at[~first], at[first] = numbers, len(ids) + head_numbers
-        at[(whole | special)[parts.doc]] = len(entries) - 1
-        at[parts.base[alone]] = len(ids) + len(heads) + np.arange(len(alone))
+        entries = [*(self._by_border(h) if u else b"" for h, u in zip(heads, used)), *own, b""]
+        at = np.empty(len(parts.starts), np.int64)
+        at[~first], at[first] = places[numbers], len(known.words) + head_numbers
+        at[(whole | special)[parts.doc]] = len(known.words) + len(entries) - 1
+        at[parts.base[alone]] = len(known.words) + len(heads) + np.arange(len(alone))
         lengths = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
-        starts = np.cumsum(lengths) - lengths
-        n = lengths[at]
+        starts = np.concatenate([known.starts, len(known.ids) + np.cumsum(lengths) - lengths])
+        n = np.concatenate([known.sizes, lengths])[at]
         ends = np.concatenate([[0], np.cumsum(n)])
-        table = np.frombuffer(b"".join(entries), "<u4")
+        table = np.concatenate([known.ids, np.frombuffer(b"".join(entries), "<u4")])
+        known.trim()
         return table[np.repeat(starts[at] - ends[:-1], n) + np.arange(ends[-1])], np.diff(ends[parts.base])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
@@ -173,10 +207,10 @@ class Pieces:
         held = pa.py_buffer(self.data[self.solid])
         self.pieces = pa.Array.from_buffers(pa.large_string(), len(self.starts), [None, pa.py_buffer(ends.astype(np.int64)), held])
 
-    def different(self, held: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    def different(self, held: np.ndarray) -> tuple[np.ndarray, pa.Array]:
         """The different ones among some pieces, and the number of each piece among them."""
         coded = self.pieces.filter(pa.array(held)).dictionary_encode()
-        return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
 # --- file format ---------------------------------------------------------------------------

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -82,6 +83,35 @@ def test_piece_encoder(monkeypatch):
     assert [x for i in range(0, len(texts), 7) for x in small.encode_all(texts[i : i + 7])] == want
 
 
+def test_words_are_looked_up_as_arrays(monkeypatch):
+    """Only new words are learned; long ones and those met longest ago go, those met again stay."""
+    monkeypatch.setattr(tokenfiles, "KEPT", 3)
+    kept, learned = tokenfiles.Words(), []
+
+    def learn(words):
+        learned.append(words)
+        sizes = np.array([tokenfiles.ODD if w == "odd" else len(w) for w in words], np.int64)
+        return sizes, np.array([ord(c) for w in words if w != "odd" for c in w], "<u4")
+
+    def ids(word):
+        (at,) = kept.places(pa.array([word], pa.large_string()), learn)
+        size = int(kept.sizes[at])
+        return "odd" if size == tokenfiles.ODD else "".join(map(chr, kept.ids[kept.starts[at] : kept.starts[at] + size]))
+
+    def seen(words):
+        for word in words:
+            assert ids(word) == word
+            kept.trim()
+            assert len(kept.words) == len(kept.starts) == len(kept.sizes) == len(kept.met) <= 6
+            assert len(kept.ids) == sum(max(n, 0) for n in kept.sizes.tolist())
+
+    seen(["a", "bb", "x" * 65, "odd", "a", "ccc", "dd", "a", "e", "ff", "a", "bb", "x" * 65, "odd"])
+    assert learned == [[w] if w else [] for w in ["a", "bb", "x" * 65, "odd", "", "ccc", "dd", "", "e", "ff", "", "bb", "x" * 65, "odd"]]
+    several = pa.array(["new", "y" * 70, "a", "z"], pa.large_string())
+    at = kept.places(several, learn)
+    assert learned[-1] == ["new", "z", "y" * 70] and kept.words.take(pa.array(at)).to_pylist() == several.to_pylist()
+
+
 @pytest.mark.parametrize("high", [200, 50_000, 2**32 - 1])
 def test_file_format(tmp_path, high):
     draw = np.random.default_rng(high)
