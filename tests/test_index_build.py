@@ -75,3 +75,12 @@ def test_postings_meet_the_shorter_list_of_ids(spark, monkeypatch):
     titles = lambda i: {r.id: r.term for r in i.postings.where("col = 'title'").collect()}
     assert titles(most) == {"k0": "moss", "k1": "moss", "k2": "moss", "k3": "moss", "n": "moss", "k4": "stone", "k5": "stone"}
     assert titles(few) == {"k0": "moss", "k2": "stone", "k3": "stone", "k4": "stone", "k5": "stone"}
+
+
+def test_words_without_a_ruled_ending_are_their_own_stems(spark):
+    """They don't go through the rules, and every ending that a rule looks for is told by its last letter."""
+    endings = {"s", "y", "e", "ll", "eed", "ed", "ing", *text.STEP2, *text.STEP3, *text.STEP4}
+    words = [f"yhop{end}" for end in (*endings, *"abfhjkopqvwxz059", "ñ", "ß", "漢")]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.col("w").rlike(text.RULED_END).alias("ruled"), text.stem("w").alias("s"))
+    assert {r.w[4:] for r in rows.where("ruled").collect()} == endings
+    assert rows.where("not ruled and s != w").count() == 0
