@@ -1,8 +1,10 @@
 """Searches whose prefixes stand for very many terms: postings are found by stem, and go by document once whatever the phrases."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
-from test_operators import doc, docs_of
+from test_operators import SITE, doc, docs_of
 from test_shuffled_bytes import log_of, plan_of
 
 from inkwell.functions import text
@@ -11,6 +13,7 @@ from inkwell.operators import indexing, matching
 from inkwell.plans import search as searching
 from inkwell.plans.index import build_index
 from inkwell.session import scratch_path
+from inkwell.streaming import feed
 
 STRINGS = ("qu", "stone qu", '"old quarry"', "old-qu", "quarr-stones", "old-old", "title:quiet", "stones -qu")
 
@@ -81,3 +84,22 @@ def test_marks_count_the_documents_of_a_stem(spark, quarries):
     assert quarries.vocab.where(F.col("stem") != text.stem("term")).count() == 0
     plan = plan_of(indexing.with_stem_counts(indexing.build_vocab(quarries.postings)))
     assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_postings_of_a_feed_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """Few rows lost: they meet the postings, however many won."""
+    landing, out = tmp_path / "in", str(tmp_path / "out")
+    landing.mkdir()
+    for k, ids in enumerate((range(8), range(2))):
+        items = [{"id": f"k{i}", "title": f"set {k}", "plaintext": "old stones", "updated_at": f"2024-0{k + 1}"} for i in ids]
+        (landing / f"{k}.json").write_text(json.dumps({"posts": items}))
+        feed.stream_archive(spark, str(landing), out, str(tmp_path / "marks"), "post", SITE).awaitTermination()
+    monkeypatch.setattr(matching, "FEW", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = feed.current_postings(spark, out)
+        plan = plan_of(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert {r.id: r.term for r in found.where("col = 'title' and term != 'set'").collect()} == {f"k{i}": "1" if i < 2 else "0" for i in range(8)}
